@@ -64,7 +64,7 @@ def propagated(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds:
         if asked.isEmpty():
             break
         # by turns a random half may move, and all but those whom their neighbours follow
-        turn = F.col("row") <> F.col("group") if k % 2 else F.pmod(F.xxhash64("row", F.lit(k + 100)), F.lit(2)) == 0
+        turn = F.col("row") != F.col("group") if k % 2 else F.pmod(F.xxhash64("row", F.lit(k + 100)), F.lit(2)) == 0
         asked = asked.where(turn)
         counts = {r[0]: r[1] for r in held.groupBy("shard").count().collect()}
         wanted = asked.groupBy("to", "unit").count().collect()
