@@ -7,7 +7,8 @@ last, so the short lists are the same prefix on both sides and only prefixes are
 
 1. one pass over the texts: each set's size and 128-bit digest (equal sets form a class that its least doc_id stands
    for), and the shingles that are common, by lossy counting over all documents;
-2. a second pass posts the prefixes; lists of one class fall away;
+2. a second pass counts the shingles of the prefixes, a third posts those that occur more than once (a bitmap keeps
+   the others, most of them, from the shuffle); lists of one class fall away;
 3. every list links its members to its least member first (a star, so a list of a million copies gives a million
    candidates, not their square). Only lists whose members are still in different components afterwards give all
    their pairs across components, so no link that could join components is lost;
@@ -42,6 +43,8 @@ COMMON = 1 << 19
 COMMON_LEAST = 8
 #: Shingles counted at once by lossy counting; what occurs once among them is forgotten.
 COUNTED = 4_000_000
+#: Bits of the bitmap of shingles that occur more than once; when they are many it lets more through.
+SHARED_BITS = 1 << 26
 #: Candidates that are divided and merged at once.
 BLOCK = 64
 
@@ -140,18 +143,34 @@ def ordered(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.n
     return shingles[np.lexsort((shingles, rank))]
 
 
-def _prefixes(rows: DataFrame, common, words: int, percent: int) -> DataFrame:
+def _prefixes(rows: DataFrame, common, firsts, shared, words: int, percent: int) -> DataFrame:
+    """Prefix shingles of the documents whose id is in the bitmap `firsts`: the shingles alone, or with the bitmap
+    `shared` the shingles in it with doc_id, n and digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(C.in_bitmap(*_numpy(firsts, batch.column(0)))))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = C.text_buffers(batch.column(1))
             for i, j in C.chunks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
-                short = [C.signed(ordered(s, common.value)[: len(s) - -(-percent * len(s) // 100) + 1]) if len(s) else C.signed(s) for s in sets]
-                ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(short)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s)[0] for s in sets], pa.int64()), lists], ["doc_id", "n", "a", "prefix"])
+                short = [ordered(s, common.value)[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s for s in sets]
+                every = C.signed(np.concatenate(short))
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(every)], ["shingle"])
+                    continue
+                owner = np.repeat(np.arange(j - i), list(map(len, short)))
+                keep = C.in_bitmap(shared.value[0], every, shared.value[1])
+                owner, every = owner[keep], every[keep]
+                n = np.array(list(map(len, sets)), np.int32)
+                a = np.array([digest(s)[0] for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + owner]), pa.array(n[owner]), pa.array(a[owner]), pa.array(every)], ["doc_id", "n", "a", "shingle"])
+
+    return rows.mapInArrow(run, "shingle long" if shared is None else "doc_id long, n int, a long, shingle long")
+
 
-    return rows.mapInArrow(run, "doc_id long, n long, a long, prefix array<long>")
+def _numpy(bitmap, column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    return bitmap.value[0], column.to_numpy(zero_copy_only=False), bitmap.value[1]
 
 
 def divide_skip(own: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> list[int]:
@@ -236,10 +255,13 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     common = spark.sparkContext.broadcast(_common(profile.where("kind = 1").select("a", "b")))
     classes = C.written(own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first")))
 
-    prefixes = _prefixes(rows.where("doc_id is not null"), common, words, percent).where("n > 0")
-    firsts = classes.select(F.col("first").alias("doc_id"), "n", "a")
-    posted = prefixes.join(firsts, ["doc_id", "n", "a"], "left_semi").select("doc_id", "n", F.explode("prefix").alias("shingle"))
-    posted = C.written(posted.repartition("shingle").withColumn("n", F.col("n").cast("int")))
+    context, known = spark.sparkContext, rows.where("doc_id is not null")
+    firsts = context.broadcast(C.bitmap_of(classes, "first"))
+    twice = C.written(_prefixes(known, common, firsts, None, words, percent).groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"))
+    shared = context.broadcast(C.bitmap_of(twice, "shingle", SHARED_BITS))
+    posted = _prefixes(known, common, firsts, shared, words, percent)
+    # a copy passes where its class's first document has the same id or falls on its bit
+    posted = C.written(posted.join(classes.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"), "a"), ["doc_id", "n", "a"], "left_semi").select("shingle", "doc_id", "n"))
     lists = posted.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
     posted = C.written(posted.join(lists.select("shingle", "centre"), "shingle"))
     sizes = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
