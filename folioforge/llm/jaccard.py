@@ -9,11 +9,12 @@ last, so the short lists are the same prefix on both sides and only prefixes are
    for), and the shingles that are common, by lossy counting over all documents;
 2. a second pass counts the shingles of the prefixes, a third posts those that occur more than once (a bitmap keeps
    the others, most of them, from the shuffle); lists of one class fall away;
-3. every list links its members to its least member first (a star, so a list of a million copies gives a million
-   candidates, not their square). Only lists whose members are still in different components afterwards give all
-   their pairs across components, so no link that could join components is lost;
-4. candidates' sets are read again (a bitmap skips other documents' texts) and verified: per document the lists of
-   its shingles among its candidates are divided, the short ones merged by a heap, the long ones probed by binary
+3. a list of a million copies mustn't give the square of that in candidates: first every document, then every
+   component, asks for one link to the first document of one of its lists. Only lists whose members are still in
+   different components afterwards give all their pairs across components, so no link that could join components
+   is lost;
+4. the sets of listed documents are read again (a bitmap skips other texts) and candidates verified: per document the
+   lists of its shingles among its candidates are divided, the short ones merged by a heap, the long ones probed by binary
    search, until the required overlap is reached or out of reach.
 
 The order of shingles only steers the work: with another set of common shingles the links are the same.
@@ -45,6 +46,10 @@ COMMON_LEAST = 8
 COUNTED = 4_000_000
 #: Bits of the bitmap of shingles that occur more than once; when they are many it lets more through.
 SHARED_BITS = 1 << 26
+#: Rounds in which components ask one other each, before all pairs that are left.
+STARS = 3
+#: Pairs (16 bytes each) that are sent to the executors at most.
+FEW_PAIRS = 500_000
 #: Candidates that are divided and merged at once.
 BLOCK = 64
 
@@ -204,15 +209,13 @@ def divide_skip(own: np.ndarray, others: list[np.ndarray], percent: int = PERCEN
     return sorted(out)
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids that are linked."""
-    ends = C.written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    bitmap, bits = C.bitmap_of(ends, "doc_id")
-    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap)
+def _held_sets(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and shingles of the documents listed in ids (distinct doc_ids)."""
+    bitmap = rows.sparkSession.sparkContext.broadcast(C.bitmap_of(ids, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(C.in_bitmap(bitmap.value, batch.column(0).to_numpy(zero_copy_only=False), bits)))
+            batch = batch.filter(pa.array(C.in_bitmap(*_numpy(bitmap, batch.column(0)))))
             data, offsets = C.text_buffers(batch.column(1))
             for i, j in C.chunks(offsets):
                 own = [C.signed(s) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)]
@@ -220,11 +223,17 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["doc_id", "shingles"])
 
     wanted = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles array<long>")
-    held = C.written(wanted.join(ends, "doc_id", "left_semi").where(F.size("shingles") > 0))
-    left = held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    # the star's centre (a) comes first and brings its set to its members; AQE splits the large centres
-    both = pairs.join(left, "a").join(right, "b").select("b", "sb", "a", "sa")
+    return C.written(wanted.join(ids, "doc_id", "left_semi").where(F.size("shingles") > 0))
+
+
+def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids that are linked. Only the sets of documents in pairs move."""
+    # 16 bytes a pair: they go to the sets while they are few, else both are dealt out by doc_id
+    small = F.broadcast if pairs.count() <= FEW_PAIRS else lambda x: x
+    left = held.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    right = held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).join(small(pairs), "b")
+    # AQE splits the partition of a document that many are compared with
+    both = right.join(left, "a").select("b", "sb", "a", "sa")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_set = lambda x: np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
@@ -262,28 +271,33 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     posted = _prefixes(known, common, firsts, shared, words, percent)
     # a copy passes where its class's first document has the same id or falls on its bit
     posted = C.written(posted.join(classes.select(F.col("first").alias("doc_id"), F.col("n").cast("int").alias("n"), "a"), ["doc_id", "n", "a"], "left_semi").select("shingle", "doc_id", "n"))
-    lists = posted.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last")
-    posted = C.written(posted.join(lists.select("shingle", "centre"), "shingle"))
     sizes = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-
-    stars = posted.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("nb"))
-    heads = posted.where("doc_id = centre").groupBy(F.col("doc_id").alias("a")).agg(F.max("n").alias("na"))
-    pairs = C.written(stars.join(heads, "a").where(sizes("na", "nb")).select("a", "b"))
-    if pairs.isEmpty():
-        edges = pairs
-    else:
-        edges = C.written(_verified(rows, pairs, words, percent))
+    lists = posted.groupBy("shingle").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("shingle")
+    posted = C.written(posted.join(lists, "shingle"))
+    held = _held_sets(rows, C.written(posted.select("doc_id").distinct()), words)
+    edges = tried = spark.createDataFrame([], "a long, b long")
+    at = posted.withColumn("component", F.col("doc_id"))
+    for _ in range(STARS):
+        # a list's centre is its least document; each component asks, through its best member, one other component
+        centre = at.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "component")).alias("c")).select("shingle", F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+        asked = at.join(centre, "shingle").where(f"component <> ca and {sizes('na', 'n')}").groupBy("a", F.col("doc_id").alias("b"), "component").agg(F.count("*").alias("k"))
+        asked = asked.join(tried, ["a", "b"], "left_anti")
+        pairs = C.written(asked.groupBy("component").agg(F.max(F.struct("k", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("m")).select((-F.col("m.a")).alias("a"), (-F.col("m.b")).alias("b")))
+        if pairs.isEmpty():
+            break
+        tried = C.written(tried.unionByName(pairs))
+        edges = C.written(edges.unionByName(_verified(held, pairs, percent)))
         parts = graph.components(edges)
-        at = posted.join(parts.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        at = C.written(at)
-        open_ = at.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("k")).where("x < y and k > 2").select("shingle")
-        left = C.written(at.join(open_, "shingle"))
-        x = left.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        y = left.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        across = x.join(y, "shingle").where(f"a < b and ca <> cb and {sizes('na', 'nb')}").select("a", "b").distinct()
-        across = C.written(across.join(pairs, ["a", "b"], "left_anti"))
-        if not across.isEmpty():
-            edges = C.written(edges.unionByName(_verified(rows, across, words, percent)))
+        at = C.written(posted.join(parts.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    # what is still apart: every pair of a list across components
+    open_ = at.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("shingle")
+    left = C.written(at.join(open_, "shingle"))
+    x = left.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = left.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    across = x.join(y, "shingle").where(f"a < b and ca <> cb and {sizes('na', 'nb')}").select("a", "b").distinct()
+    across = C.written(across.join(tried, ["a", "b"], "left_anti"))
+    if not across.isEmpty():
+        edges = C.written(edges.unionByName(_verified(held, across, percent)))
     same = own.where("n > 0 and doc_id is not null").join(classes, ["n", "a", "b"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     parts = graph.components(edges.unionByName(same))
     out = own.join(parts.withColumnRenamed("v", "doc_id"), "doc_id", "left")
