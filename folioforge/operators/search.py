@@ -49,8 +49,10 @@ def search(records: DataFrame, q: str | None, limit: int = LIMIT) -> DataFrame:
     q = (q or "").strip()
     if len(q) < 2:
         return records.sparkSession.createDataFrame([], RESULT)
-    ranked = matching(records, q).orderBy(rank_of(q), F.desc_nulls_last("datestamp"), F.asc_nulls_last("recid"), "oai_identifier").limit(limit)
-    return ranked.select("recid", N.display_identifier(F.col("document_symbol"), F.col("dc_identifier")).alias("symbol"), N.clean_title(F.col("title_primary")).alias("title"), F.col("publication_date_primary").alias("date"), N.utc_text(F.col("datestamp")).alias("datestamp"))
+    # what is shown is computed below the sort: two projections above it would keep the planner from a top-k
+    shown = matching(records, q).select("recid", N.display_identifier(F.col("document_symbol"), F.col("dc_identifier")).alias("symbol"), N.clean_title(F.col("title_primary")).alias("title"), F.col("publication_date_primary").alias("date"), N.utc_text(F.col("datestamp")).alias("datestamp"), rank_of(q).alias("_rank"), F.col("datestamp").alias("_at"), F.col("oai_identifier").alias("_key"))
+    best = shown.orderBy("_rank", F.desc_nulls_last("_at"), F.asc_nulls_last("recid"), "_key").limit(limit)
+    return best.select("recid", "symbol", "title", "date", "datestamp")
 
 
 def detail(records: DataFrame, recid: str | int) -> DataFrame:

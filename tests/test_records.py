@@ -107,14 +107,15 @@ def test_scalars(spark):
     assert N.ilike_pattern("a\\b%_\\%\\") == "ab%_\\%\\\\"
 
 
-def test_search_guards_and_plan(spark):
-    records = spark.createDataFrame([("k", 1, NOW, False, "A/RES/1", "T : ", None, ["https://x", "B\\c"])], "oai_identifier string, recid long, datestamp timestamp, deleted boolean, document_symbol string, title_primary string, publication_date_primary string, dc_identifier array<string>")
+def test_search_guards_and_plan(spark, tmp_path):
+    records = spark.createDataFrame([("k", 1, NOW, False, "A/RES/1", "T : ", None, ["https://x", "B\\c"]), ("l", 2, NOW, True, None, None, None, None)], "oai_identifier string, recid long, datestamp timestamp, deleted boolean, document_symbol string, title_primary string, publication_date_primary string, dc_identifier array<string>")
     assert search.search(records, " a ").isEmpty() and search.search(records, None).isEmpty()
     assert search.search(records, "a/res").head().title == "T"
     assert search.detail(records, "1x").count() == 1
     with pytest.raises(search.InvalidArgument):
         search.detail(records, "x")
-    plan = search.search(records, "a/res")._jdf.queryExecution().executedPlan().toString()
+    records.write.parquet(str(tmp_path / "r"))
+    plan = search.search(spark.read.parquet(str(tmp_path / "r")), "a/res")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
 
 
