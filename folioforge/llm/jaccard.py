@@ -43,13 +43,15 @@ PERCENT = 80
 COMMON = 1 << 19
 COMMON_LEAST = 8
 #: Shingles counted at once by lossy counting; what occurs once among them is forgotten.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Bits of the bitmap of shingles that occur more than once; when they are many it lets more through.
 SHARED_BITS = 1 << 26
 #: Rounds in which components ask one other each, before all pairs that are left.
-STARS = 3
+STARS = 2
 #: Pairs (16 bytes each) that are sent to the executors at most.
 FEW_PAIRS = 500_000
+#: Candidates, with both sets, that go to a worker at once.
+VERIFIED = 200
 #: Candidates that are divided and merged at once.
 BLOCK = 64
 
@@ -223,7 +225,8 @@ def _held_sets(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["doc_id", "shingles"])
 
     wanted = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles array<long>")
-    return C.written(wanted.join(ids, "doc_id", "left_semi").where(F.size("shingles") > 0))
+    # a few documents more, whose ids fall on others' bits, do no harm
+    return C.written(wanted.where(F.size("shingles") > 0))
 
 
 def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +255,8 @@ def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 k = end
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(verify, "a long, b long")
+    with C.rows_a_batch(held.sparkSession, VERIFIED):
+        return C.written(both.mapInArrow(verify, "a long, b long"))
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,7 +290,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
         if pairs.isEmpty():
             break
         tried = C.written(tried.unionByName(pairs))
-        edges = C.written(edges.unionByName(_verified(held, pairs, percent)))
+        edges = edges.unionByName(_verified(held, pairs, percent))
         parts = graph.components(edges)
         at = C.written(posted.join(parts.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
     # what is still apart: every pair of a list across components
@@ -297,7 +301,7 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     across = x.join(y, "shingle").where(f"a < b and ca <> cb and {sizes('na', 'nb')}").select("a", "b").distinct()
     across = C.written(across.join(tried, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        edges = C.written(edges.unionByName(_verified(held, across, percent)))
+        edges = edges.unionByName(_verified(held, across, percent))
     same = own.where("n > 0 and doc_id is not null").join(classes, ["n", "a", "b"]).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     parts = graph.components(edges.unionByName(same))
     out = own.join(parts.withColumnRenamed("v", "doc_id"), "doc_id", "left")
