@@ -30,7 +30,7 @@ BITS = 16
 SIZES = (3, 4, 5, 6)
 DIMENSIONS = 4
 SEGMENT = 12
-SAMPLE = 8000
+SAMPLE = 3000
 STEPS, CHOOSE = 60, 6
 RATE, FLOOR = 0.05, 2e-4
 #: (Text, word) pairs that count against a log odds.
@@ -70,6 +70,36 @@ def words_of(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[n
     return own, gram_at, back, at
 
 
+def words_of_all(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """words_of() for many texts: a chunk at a time, only distinct words' bytes and the words' hashes are held."""
+    known: dict[int, bytes] = {}
+    hashes, counts = [], [np.zeros(1, np.int64)]
+    for i, j in C.chunks(offsets):
+        low = C.LOWER[data[offsets[i] : offsets[j]]]
+        starts, ends, at = C.word_spans(low, offsets[i : j + 1] - offsets[i], C.LETTER_WORDS)
+        own = C.span_hashes(C.BYTE_VALUES[low], starts, ends)
+        kept, first = np.unique(own, return_index=True)
+        whole = low.tobytes()
+        for h, a, b in zip(kept.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True):
+            if h not in known:
+                known[h] = whole[a:b]
+        hashes.append(own)
+        counts.append(np.diff(at))
+    distinct = sorted(known)
+    spelled = [known[h] for h in distinct]
+    parts, sizes = [], [np.zeros(1, np.int64)]
+    for k in range(0, len(spelled), 20_000):
+        some = spelled[k : k + 20_000]
+        edges = np.cumsum([0, *map(len, some)])
+        part, at = grams(np.frombuffer(b"".join(some), np.uint8), edges[:-1], edges[1:], bits)
+        parts.append(part.astype(np.int32))
+        sizes.append(np.diff(at))
+    own = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    gram_at = np.cumsum(np.concatenate(sizes))
+    every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    return own, gram_at, np.searchsorted(np.array(distinct, np.uint64), every).astype(np.int32), np.cumsum(np.concatenate(counts))
+
+
 def segments(at: np.ndarray, size: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
     """First words of the texts' segments, and the texts they belong to."""
     counts = np.diff(at)
@@ -88,14 +118,14 @@ def means(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def trained(texts: list[str], labels: np.ndarray, bits: int = BITS, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, float]:
     """Each n-gram's part in the difference of the two logits (embedding times softmax weights), and the bias."""
     data, offsets = C.text_buffers(pa.array(texts, pa.string()))
-    own, gram_at, word, at = words_of(data, offsets, bits)
+    own, gram_at, word, at = words_of_all(data, offsets, bits)
     first, owner = segments(at)
     if not len(first):
         return np.zeros(1 << bits, np.float32), 0.0
     random = np.random.default_rng(11)
     table = random.normal(0, 0.02, (1 << bits, dimensions)).astype(np.float32)
     text = np.repeat(np.arange(len(texts)), np.diff(at))
-    pairs = np.unique(text * (len(gram_at) - 1) + word)
+    pairs = np.unique(text * (len(gram_at) - 1) + word.astype(np.int64))
     toxic = labels[pairs // (len(gram_at) - 1)] == 1
     odds = []
     for kind in (toxic, ~toxic):
