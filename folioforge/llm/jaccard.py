@@ -13,9 +13,11 @@ last, so the short lists are the same prefix on both sides and only prefixes are
    component, asks for one link to the first document of one of its lists. Only lists whose members are still in
    different components afterwards give all their pairs across components, so no link that could join components
    is lost;
-4. the sets of listed documents are read again (a bitmap skips other texts) and candidates verified: per document the
-   lists of its shingles among its candidates are divided, the short ones merged by a heap, the long ones probed by binary
-   search, until the required overlap is reached or out of reach.
+4. the sets of listed documents are read again (a bitmap skips other texts) with a mark of about one bit a shingle: the
+   parities of the counts of its shingles in hash buckets. Marks that differ in d bits prove d shingles that only one
+   of two sets has, so most candidates fall away before any set moves, and no link does;
+5. the others are verified: per document the lists of its shingles among its candidates are divided, the short ones
+   merged by a heap, the long ones probed by binary search, until the required overlap is reached or out of reach.
 
 The order of shingles only steers the work: with another set of common shingles the links are the same.
 
@@ -50,8 +52,8 @@ SHARED_BITS = 1 << 26
 STARS = 2
 #: Pairs (16 bytes each) that are sent to the executors at most.
 FEW_PAIRS = 500_000
-#: Candidates, with both sets, that go to a worker at once.
-VERIFIED = 200
+#: Texts, candidates with both marks, and candidates with both sets that go to a worker at once.
+READ, MARKED, VERIFIED = 2000, 2000, 200
 #: Candidates that are divided and merged at once.
 BLOCK = 64
 
@@ -88,6 +90,23 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
+def mark(shingles: np.ndarray) -> bytes:
+    """Parities of the counts of a set's shingles in as many buckets as it has shingles, up to a power of two."""
+    bits = max(8, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 8
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two sets has, at least: the marks' differing bits, the larger folded to the smaller."""
+    x, y = sorted((x, y), key=len)
+    size, low = 8 * len(y), int.from_bytes(y, "little")
+    while size > 8 * len(x):
+        size //= 2
+        low = (low >> size) ^ (low & ((1 << size) - 1))
+    return (int.from_bytes(x, "little") ^ low).bit_count()
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -212,7 +231,7 @@ def divide_skip(own: np.ndarray, others: list[np.ndarray], percent: int = PERCEN
 
 
 def _held_sets(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id and shingles of the documents listed in ids (distinct doc_ids)."""
+    """doc_id, n, mark and shingles of the documents listed in ids (distinct doc_ids)."""
     bitmap = rows.sparkSession.sparkContext.broadcast(C.bitmap_of(ids, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,17 +239,36 @@ def _held_sets(rows: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             batch = batch.filter(pa.array(C.in_bitmap(*_numpy(bitmap, batch.column(0)))))
             data, offsets = C.text_buffers(batch.column(1))
             for i, j in C.chunks(offsets):
-                own = [C.signed(s) for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)]
+                own = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 at = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(own)))], ["doc_id", "shingles"])
+                flat = pa.ListArray.from_arrays(pa.array(at), pa.array(C.signed(np.concatenate(own))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(list(map(len, own)), pa.int32()), pa.array(list(map(mark, own)), pa.binary()), flat], ["doc_id", "n", "mark", "shingles"])
 
-    wanted = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, shingles array<long>")
+    wanted = rows.where("doc_id is not null").mapInArrow(sets, "doc_id long, n int, mark binary, shingles array<long>")
     # a few documents more, whose ids fall on others' bits, do no harm
-    return C.written(wanted.where(F.size("shingles") > 0))
+    with C.rows_a_batch(rows.sparkSession, READ):
+        return C.written(wanted.where("n > 0"))
+
+
+def _near(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose marks don't rule a link out."""
+    small = F.broadcast if pairs.count() <= FEW_PAIRS else lambda x: x
+    one = held.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("mark").alias("mb")).join(small(pairs), "b")
+    both = one.join(held.select(F.col("doc_id").alias("a"), "n", "mark"), "a").select("a", "b", "n", "nb", "mark", "mb")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(k).to_pylist() for k in range(2, 6))
+            keep = [apart(p, q) <= u + v - 2 * needed(u, v, percent) for u, v, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    with C.rows_a_batch(held.sparkSession, MARKED):
+        return C.written(both.mapInArrow(compare, "a long, b long").distinct())
 
 
 def _verified(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids that are linked. Only the sets of documents in pairs move."""
+    pairs = _near(held, pairs, percent)
     # 16 bytes a pair: they go to the sets while they are few, else both are dealt out by doc_id
     small = F.broadcast if pairs.count() <= FEW_PAIRS else lambda x: x
     left = held.join(small(pairs.select(F.col("a").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -263,14 +301,16 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     rows = _sets(docs, id_col, text_col)
-    profile = C.written(_profile(rows, words))
+    with C.rows_a_batch(spark, READ):
+        profile = C.written(_profile(rows, words))
     own = profile.where("kind = 0").select("doc_id", "n", "a", "b")
     common = spark.sparkContext.broadcast(_common(profile.where("kind = 1").select("a", "b")))
     classes = C.written(own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first")))
 
     context, known = spark.sparkContext, rows.where("doc_id is not null")
     firsts = context.broadcast(C.bitmap_of(classes, "first"))
-    twice = C.written(_prefixes(known, common, firsts, None, words, percent).groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"))
+    with C.rows_a_batch(spark, READ):
+        twice = C.written(_prefixes(known, common, firsts, None, words, percent).groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle"))
     shared = context.broadcast(C.bitmap_of(twice, "shingle", SHARED_BITS))
     posted = _prefixes(known, common, firsts, shared, words, percent)
     # a copy passes where its class's first document has the same id or falls on its bit

@@ -84,6 +84,16 @@ def test_divide_skip_equals_sets():
         assert jaccard.divide_skip(base, others) == want
 
 
+def test_marks_never_claim_too_much():
+    draw = np.random.default_rng(5)
+    for n, m, both in ((40, 41, 38), (500, 520, 470), (9, 300, 4), (3000, 2600, 2500), (1, 1, 1), (1, 7, 0)):
+        pool = draw.integers(0, 2**63, n + m - both).astype(np.uint64)
+        x, y = pool[:n], pool[n - both :]
+        assert jaccard.apart(jaccard.mark(x), jaccard.mark(y)) <= n + m - 2 * both
+    x, y = draw.integers(0, 2**63, (2, 400)).astype(np.uint64)
+    assert jaccard.apart(jaccard.mark(x), jaccard.mark(y)) > 800 - 2 * jaccard.needed(400, 400)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 3), (20, 21), (5, 5)], "a long, b long")
     assert {r.v: r.component for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 8: 1, 9: 1, 20: 20, 21: 20}
