@@ -117,10 +117,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: i
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 0, folds: int = 5, sample: int = SAMPLE, bits: int = BITS) -> tuple[np.ndarray, float]:
     got = _vectors(labelled(docs, labels, label, fold, folds, sample), bits).toArrow()
+    known = got.column(0).to_numpy()
+    at, x = (got.column(k).combine_chunks() for k in (1, 2))
+    # slices of Arrow's buffers: as Python numbers they would take eight times the memory
+    cut, numbers, values = at.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
+    rows = [(numbers[i:j], values[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
     # rows come in any order; training doesn't depend on it
-    rows = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist(), strict=True), key=lambda r: (r[0], zlib.crc32(np.array(r[1], np.int32)), len(r[1])))
-    vectors = [(np.array(a, np.int64), np.array(x)) for _, a, x in rows]
-    return trained(vectors, np.array([r[0] for r in rows], float), bits)
+    order = sorted(range(len(rows)), key=lambda k: (known[k], zlib.crc32(rows[k][0]), len(rows[k][0])))
+    return trained([rows[k] for k in order], known[order].astype(float), bits)
 
 
 def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: float, bits: int = BITS) -> np.ndarray:
