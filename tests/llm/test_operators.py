@@ -222,6 +222,17 @@ def test_passages(spark, docs, none):
     assert passages.shared_passages(none).isEmpty()
 
 
+def test_passages_of_a_repeated_word_or_line(spark):
+    line, other = "one two three".split(), prose(30, 40)
+    texts = [other + ["that"] * 200, prose(25, 41) + ["that"] * 120, prose(20, 42) + line * 60, line * 40 + prose(20, 43), ["so"] * 70, prose(9, 44) + ["so"] * 200]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in passages.shared_passages(table).collect():
+        got.setdefault((r.doc_id, r.other_id), set()).update(range(r.start_word, r.end_word))
+    assert got.keys() == {(0, 1), (1, 0), (2, 3), (3, 2), (4, 5), (5, 4)}
+    assert got[1, 0] >= set(range(25, 145)) and got[3, 2] >= set(range(118)) and got[5, 4] >= set(range(9, 209))
+
+
 def test_chains_and_alignment():
     assert passages.chains(np.arange(0, 50, 5), np.arange(100, 150, 5)) == [(0, 50, 100, 150)]
     a = np.arange(80)
