@@ -233,6 +233,30 @@ def test_passages_of_a_repeated_word_or_line(spark):
     assert got[1, 0] >= set(range(25, 145)) and got[3, 2] >= set(range(118)) and got[5, 4] >= set(range(9, 209))
 
 
+def test_passages_that_the_first_holder_has_a_part_of(spark):
+    texts = []
+    for k in range(8):
+        whole = prose(60, 50 + k)
+        near = [*whole]
+        near[30] = "changed"
+        texts += [whole[:40] + prose(30, 60 + k), prose(30, 70 + k) + whole[20:], prose(9, 80 + k) + whole, prose(15, 90 + k) + (near if k % 2 else whole)]
+    # the same with a passage that more documents hold a part of than are matched one by one
+    whole = prose(60, 100)
+    texts += [prose(20, 200 + k) + (whole[:40] if k % 2 else whole[20:]) + prose(20, 300 + k) for k in range(2 * passages.HOLDERS + 2)] + [whole, whole + ["end"]]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for r in passages.shared_passages(table).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    grams = defaultdict(set)
+    for k, t in enumerate(texts):
+        for a in range(len(t) - 49):
+            grams[tuple(t[a : a + 50])].add((k, a))
+    for places in grams.values():
+        if len({k for k, _ in places}) > 1:
+            assert all(got.get(k, set()) >= set(range(a, a + 50)) for k, a in places)
+    assert all(got[4 * k + 2] >= set(range(9, 69)) and got[4 * k + 3] >= set(range(15, 75)) for k in range(8))
+
+
 def test_chains_and_alignment():
     assert passages.chains(np.arange(0, 50, 5), np.arange(100, 150, 5)) == [(0, 50, 100, 150)]
     a = np.arange(80)
