@@ -4,7 +4,8 @@ The page's tags become a tree as browsers build it in the main (void and raw-tex
 the like, unclosed and stray tags). Parts that are never main text (menus, forms, scripts; elements whose class, id or
 role names an advert, a notice, comments) are left out. Each paragraph gives points for its length and commas, all of
 them to its parent and half to its grandparent; a container's points are discounted by its link density. The best
-container and the siblings that score like it, or read like text, are kept; their blocks are joined in page order.
+container's article is kept whole; without one, the container and what scores like it or reads like text beside it,
+up to the main element or the ancestor with nearly all unlinked text. Their blocks are joined in page order.
 
 Defined results: a null, empty or textless page gives an empty text; a tag cut off by the page's end is dropped;
 character references are decoded as HTML decodes them; rows with equal page_id are extracted each by itself; an empty
@@ -30,6 +31,10 @@ CLOSES_P = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot"
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table body html article section div main td th".split())
 CONTAINERS = frozenset("body main article section div td blockquote".split())
+#: Elements that get no points of their own: beside the best container they are judged by their links.
+LISTED = frozenset("ul ol dl table pre h4 h5 h6 figure details".split())
+#: Share of its parent's unlinked text at which an ancestor of the best container is kept.
+NEARLY = 0.9
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
@@ -173,24 +178,47 @@ def _strings(node: Node) -> Iterator[str]:
             stack += reversed(x.children)
 
 
-def kept(best: Node) -> list[Node]:
-    """The best container with the siblings that score like it or read like text, in page order."""
-    if best.parent is None or best.tag in ("article", "main"):
+def _reads(x: Node | str, least: float) -> bool:
+    """Whether what stands beside the best container is text of the page: by score, or as prose, lists and tables by link density."""
+    if isinstance(x, str):
+        return True
+    if not x.size:
+        return False
+    density = x.links / x.size
+    if x.tag in LISTED:
+        return density < 0.5
+    return (x.score >= least and density < 0.5) or (density < 0.25 if x.size > 80 else density == 0) or (x.tag in ("h1", "h2", "h3") and density < 0.3)
+
+
+def kept(best: Node) -> list[Node | str]:
+    """What is kept, in page order: the article around the best container, whole; without one, the best container and
+    what reads like text beside it, up to the main element or the ancestor that holds nearly all unlinked text."""
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    articles = [x for x in above if x.tag == "article"]
+    if articles:
+        return articles[-1:]
+    if best.tag == "main" or best.parent is None:
         return [best]
+    top = next((k for k, x in enumerate(above) if x.tag == "main"), 0)
+    if not top:
+        top = max([1, *(k for k, x in enumerate(above[:-1]) if k and x.tag not in ("body", "html") and x.size - x.links >= NEARLY * (x.parent.size - x.parent.links))])
+    path = set(map(id, above[:top]))
     least = max(10.0, best.score * 0.2)
-    out = []
-    for x in best.parent.children:
+    out, stack = [], [above[top]]
+    while stack:
+        x = stack.pop()
         if x is best:
             out.append(x)
-        elif isinstance(x, Node):
-            density = x.links / max(x.size, 1)
-            prose = x.tag == "p" and (x.size > 80 and density < 0.25 or 0 < x.size <= 80 and density == 0)
-            if (x.score >= least and density < 0.5) or prose or (x.tag in ("h1", "h2", "h3") and density < 0.3 and x.size):
-                out.append(x)
+        elif not isinstance(x, str) and (id(x) in path or x is above[top]):
+            stack += reversed(x.children)
+        elif _reads(x, least):
+            out.append(x)
     return out
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node | str]) -> list[str]:
     out: list[str] = []
     held: list[str] = []
 

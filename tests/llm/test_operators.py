@@ -301,6 +301,23 @@ def test_html(spark):
     assert html_text.extracted(table.limit(0)).isEmpty()
 
 
+def paragraphs(n: int, seed: int) -> tuple[str, list[str]]:
+    own = [", ".join(" ".join(prose(9, seed + 100 * k + q)) for q in range(5)) + "." for k in range(n)]
+    return "".join(f"<p>{x}</p>" for x in own), own
+
+
+def test_html_keeps_what_stands_beside_the_best_container():
+    (long, a), (short, b) = paragraphs(30, 400), paragraphs(2, 9400)
+    assert html_text.main_text(f"<body><article><h1>T</h1><section>{long}</section><section>{short}</section></article></body>").split("\n") == ["T", *a, *b]
+    menu = '<ul><li><a href="/x">one</a></li><li><a href="/y">two</a></li></ul>'
+    beside = "<h4>Head</h4><ul><li>first point</li></ul><ol><li>second</li></ol><dl><dt>term</dt><dd>meaning</dd></dl><table><tr><td>cell</td></tr></table><pre>code</pre><blockquote>said</blockquote>"
+    want = [*a, "Head", "first point", "second", "term", "meaning", "cell", "code", "said", *b]
+    for page in ("<main>{}</main>", "<article>{}</article>", "<div>{}</div>", "{}"):
+        text = html_text.main_text("<body>" + ("" if "article" in page else menu) + page.format(f"<div>{long}</div>{beside}<div>{short}</div>") + "</body>")
+        assert text.split("\n") == want, page
+    assert html_text.main_text(f"<body><div><div>{menu}</div><div><div>{long}</div></div><div>{short}</div></div></body>").split("\n") == [*a, *b]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     own = np.random.default_rng(8)
