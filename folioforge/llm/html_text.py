@@ -2,7 +2,8 @@
 
 The page's tags become a tree as browsers build it in the main (void and raw-text elements, implied ends of p, li and
 the like, unclosed and stray tags). Parts that are never main text (menus, forms, scripts; elements whose class, id or
-role names an advert, a notice, comments) are left out. Each paragraph gives points for its length and commas, all of
+role names an advert, a notice, comments) are left out; headings and inline elements aren't judged by name, nor, by its
+id alone, a part of the article that holds a topic's text. Each paragraph gives points for its length and commas, all of
 them to its parent and half to its grandparent; a container's points are discounted by its link density. The best
 container's article is kept whole; without one, the container and what scores like it or reads like text beside it,
 up to the main element or the ancestor with nearly all unlinked text. Their blocks are joined in page order.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select option input label fieldset menu svg canvas object audio video dialog figcaption".split())
-BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure address hr details summary center".split())
+DROPPED = RAW | frozenset("head nav header footer aside form button select option input label fieldset menu svg canvas object audio video dialog".split())
+BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr details summary center".split())
 #: Elements that a new one of the given kinds ends.
 CLOSES_P = BLOCKS - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd"} | {"li", "dt", "dd"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -40,26 +41,33 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 #: Words, alone or joined by - and _, of class, id or role values that mark what is not the article.
 UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|adslot|banner|promo|promoted|sponsor|sponsored|comments?|disqus|replies|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|sidebar|widget|breadcrumbs?|nav|navbar|navigation|menu|toolbar|pagination|pager|footer|masthead|skip|complementary|contentinfo|dialog|search|rail|toc|tags?)(?:$|[\s_-])", re.I)
+#: Of these, those that aren't a section's topic, as related-work is, even in an id inside the article.
+NOT_TOPICS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|adslot|banner|promo|promoted|sponsor|sponsored|comments?|disqus|replies|respond|cookies?|consent|gdpr|newsletter|popup|modal|overlay|nav|navbar|navigation|sidebar|footer|masthead)(?:$|[\s_-])", re.I)
+#: Elements whose names say nothing of the page's parts: headings and what stands within a line.
+UNJUDGED = frozenset("h1 h2 h3 h4 h5 h6 a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+#: Characters of text with few links that make a section inside the article with such an id a part of it.
+TOPIC = 80
 WANTED = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text|hentry|page)(?:$|[\s_-])", re.I)
 WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("bonus", "children", "dropped", "links", "parent", "size", "tag", "score")
+    __slots__ = ("bonus", "children", "doubtful", "dropped", "links", "parent", "size", "tag", "score")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: int = 0):
         self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
         self.children: list = []
         self.score = 0.0
+        self.doubtful = False
         self.size = self.links = 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is left out for what it is, and the points its names give."""
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, int, bool]:
+    """Whether an element is left out for what it is, the points its names give, and whether its text decides (in an article)."""
     if tag in DROPPED:
-        return True, 0
+        return True, 0, False
     bonus = {"article": 30, "main": 25, "section": 5, "blockquote": 3, "td": 3, "div": 5}.get(tag, 0)
-    dropped = False
+    dropped = doubtful = False
     if attributes and tag not in ("html", "body"):
         for m in NAMED.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -68,9 +76,12 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int]:
             elif name in ("class", "id", "role"):
                 if WANTED.search(value):
                     bonus += 25
-                elif UNWANTED.search(value) and tag not in ("article", "main"):
-                    dropped = True
-    return dropped, bonus
+                elif UNWANTED.search(value) and tag not in ("article", "main") and tag not in UNJUDGED:
+                    if name == "id" and inside and not NOT_TOPICS.search(value):
+                        doubtful = True
+                    else:
+                        dropped = True
+    return dropped, bonus, doubtful
 
 
 def tree(page: str) -> Node:
@@ -120,8 +131,15 @@ def tree(page: str) -> Node:
                 node = node.parent
             while node is not None and node.tag in SAME[tag]:
                 open_ = node = node.parent
-        dropped, bonus = _marks(tag, m[4] or "")
+        attributes, node = m[4] or "", open_
+        if "id" in attributes.lower():
+            while node is not None and node.tag not in ("article", "main"):
+                node = node.parent
+        else:
+            node = None
+        dropped, bonus, doubtful = _marks(tag, attributes, node is not None)
         node = Node(tag, open_, dropped or open_.dropped, bonus)
+        node.doubtful = doubtful
         if not node.dropped:
             open_.children.append(node)
         if tag in RAW:
@@ -140,12 +158,20 @@ def scored(root: Node) -> Node:
         order.append(node)
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
     candidates: dict[int, Node] = {}
+    gone: set[Node] = set()
     for node in reversed(order):  # children before their parents
         own = "".join(c for c in node.children if isinstance(c, str))
         kids = [c for c in node.children if isinstance(c, Node)]
+        if any(k.doubtful for k in kids):
+            node.children = [c for c in node.children if isinstance(c, str) or not c.doubtful or (c.size > TOPIC and c.links < 0.25 * c.size)]
+            gone.update(k for k in kids if k not in node.children)
+            kids = [c for c in node.children if isinstance(c, Node)]
         node.size = len(own.strip()) + sum(k.size for k in kids)
         node.links = node.size if node.tag == "a" else sum(k.links for k in kids)
-    for node in order:
+    for node in order:  # parents before their children
+        if gone and (node in gone or node.parent in gone):
+            gone.add(node)
+            continue
         # a paragraph: p, pre, td, li, or text that stands in a container itself
         own = node.size if node.tag in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3") else sum(len(c.strip()) for c in node.children if isinstance(c, str)) if node.tag in CONTAINERS else 0
         if own < 1:

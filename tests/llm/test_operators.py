@@ -318,6 +318,12 @@ def test_html_keeps_what_stands_beside_the_best_container():
     assert html_text.main_text(f"<body><div><div>{menu}</div><div><div>{long}</div></div><div>{short}</div></div></body>").split("\n") == [*a, *b]
 
 
+def test_html_names_within_the_article():
+    (long, a), (related, b) = paragraphs(5, 500), paragraphs(2, 7500)
+    page = f'<article>{long}<section id="related-work"><h2 id="search">Search</h2>{related}</section><p>a <span class="tag">word</span></p><figure><img><figcaption>Caption</figcaption></figure><div id="notice">short</div><div id="comments">{related}</div><div class="related">{related}</div><div id="related"><a href="/">{"link " * 40}</a></div></article>'
+    assert html_text.main_text(page).split("\n") == [*a, "Search", *b, "a word", "Caption"]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     own = np.random.default_rng(8)
