@@ -30,7 +30,7 @@ BITS = 16
 SIZES = (3, 4, 5, 6)
 DIMENSIONS = 4
 SEGMENT = 12
-SAMPLE = 3000
+SAMPLE = 8000
 STEPS, CHOOSE = 60, 6
 RATE, FLOOR = 0.05, 2e-4
 #: (Text, word) pairs that count against a log odds.

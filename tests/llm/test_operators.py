@@ -257,6 +257,14 @@ def test_passages_that_the_first_holder_has_a_part_of(spark):
     assert all(got[4 * k + 2] >= set(range(9, 69)) and got[4 * k + 3] >= set(range(15, 75)) for k in range(8))
 
 
+def test_toxicity_learns_from_more_than_3000_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "trained", lambda texts, labels, bits: seen.append(len(texts)) or (np.zeros(1 << bits, np.float32), 0.0))
+    table = spark.range(5000).selectExpr("id doc_id", "concat('text ', id) text", "cast(id % 9 = 0 as int) toxic")
+    toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert seen == [sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(5000))] and seen[0] > 3000
+
+
 def test_chains_and_alignment():
     assert passages.chains(np.arange(0, 50, 5), np.arange(100, 150, 5)) == [(0, 50, 100, 150)]
     a = np.arange(80)
