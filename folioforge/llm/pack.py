@@ -53,7 +53,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             data, offsets = C.text_buffers(batch.column(1))
             row, start, length, crc, total, kept = [], [], [], [], [], []
             for i, j in C.chunks(offsets):
-                ids, at = model.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, at = model.encode_added(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for k in range(j - i):
                     own = np.append(ids[at[k] : at[k + 1]], np.uint32(CLOSING_ID)).astype("<u4")
                     for s in range(0, len(own), capacity):

@@ -10,6 +10,7 @@ the same ids, at a tenth of the cost a piece. tests/llm hold it against the toke
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import regex
@@ -88,11 +89,22 @@ def merge_ranks(path: str) -> dict[bytes, int]:
     return {bytes(byte[c] for c in w): i for w, i in vocab.items() if i in kept}
 
 
+def added_tokens(path: str) -> dict[bytes, int]:
+    """The file's added tokens, which are found in a text before its pieces are made; raises for rules not built here."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    if any(x.get(k) for x in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token with rules of its own")
+    return {x["content"].encode(): x["id"] for x in found}
+
+
 class Encoder:
     """Token ids of many texts at once."""
 
     def __init__(self, path: str):
         self.model = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=merge_ranks(path), special_tokens={})
+        self.added = added_tokens(path)
+        self.marks = re.compile(b"|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) or b"(?!)")
         self.reset()
 
     def reset(self) -> None:
@@ -143,6 +155,27 @@ class Encoder:
         return ids, total[np.searchsorted(starts, chars)]
 
 
+    def encode_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode(), with the file's added tokens in the texts as their own ids, as the tokenizers library has it by default."""
+        whole = data.tobytes()
+        if not self.marks.search(whole):
+            return self.encode(data, offsets)
+        cuts, begins, tokens = [], [], []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            begins.append(len(cuts))
+            cuts.append(a)
+            for m in self.marks.finditer(whole, a, b):
+                tokens.append((len(cuts), self.added[m[0]]))
+                cuts += [m.start(), m.end()]
+        begins.append(len(cuts))
+        ids, at = self.encode(data, np.append(cuts, offsets[-1]).astype(np.int64))
+        ids, kept = ids.copy(), np.ones(len(ids), bool)
+        for k, token in tokens:
+            ids[at[k]] = token
+            kept[at[k] + 1 : at[k + 1]] = False
+        return ids[kept], np.concatenate([[0], np.cumsum(kept)])[at[begins]]
+
+
 def encoder(path: str) -> Encoder:
     held = C._WORKER.get(("encoder", path))
     if held is None:

@@ -172,6 +172,17 @@ def test_pieces_give_the_tokenizers_ids(texts):
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [held.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_give_the_tokenizers_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    held = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "", "<|endoftext|>", "<|endoftext|><|endoftext|>é  <|endoftext|>\n", "no token", "<|endof", "text|>", "<<|endoftext|>>  x"]
+    for some in (texts, texts[4:7], []):
+        ids, at = pretokens.encoder(path).encode_added(*C.text_buffers(pa.array(some, pa.string())))
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(some))] == [held.encode(t, add_special_tokens=False).ids for t in some]
+    table = spark.createDataFrame([(1, texts[0])], "doc_id long, text string")
+    assert [i for i in pack.token_pieces(table, with_ids=True).head().ids if i == 50256] == [50256]
+
+
 def test_packing(spark, docs, none):
     pieces = pack.token_pieces(docs, with_ids=True).collect()
     assert sum(p.start == 0 for p in pieces) == docs.count()
