@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -351,16 +351,26 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col:
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that stand for their component (those with its least doc_id), with all their columns.
 
-    Of several rows with that doc_id one stays, the least by all its text; rows with a null doc_id stay.
+    Rows with equal doc_id and text are one document: the row whose JSON is least stays. Rows with equal doc_id and other
+    texts are documents of their own: the least text has the doc_id, the others come behind all doc_ids in their
+    component, so that they stay unless another document stands for them. Rows with a null doc_id stay.
     """
     names = [f"`{c}`" for c in docs.columns]
-    parts = linked(docs, words, percent)
-    gone = C.written(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    again = parts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if again.isEmpty():
-        return kept.select(*names)
+        parts = linked(docs, words, percent)
+        gone = C.written(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*names)
     again = C.written(again.select(F.col("doc_id").alias("_again")))
-    single = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti").select(*names)
-    many = kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").select(*names)
-    return single.unionByName(many.dropDuplicates(["doc_id"]))
+    texts = docs.join(again, F.col("doc_id") == F.col("_again"), "left_semi").select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).distinct()
+    texts = texts.withColumn("_place", F.row_number().over(Window.partitionBy("_doc").orderBy(F.col("_text").asc_nulls_first())))
+    top = docs.agg(F.max("doc_id")).head()[0]
+    others = texts.where("_place > 1").orderBy("_doc", "_place").select("_doc", "_text", (F.lit(top).cast("long") + 1 + F.monotonically_increasing_id()).alias("_id"))
+    others = C.written(others)
+    rows = docs.join(others, (F.col("doc_id") == F.col("_doc")) & F.col("text").eqNullSafe(F.col("_text")), "left")
+    rows = C.written(rows.select(F.struct(*names).alias("_row"), F.coalesce("_id", F.col("doc_id").cast("long")).alias("doc_id"), "text"))
+    parts = linked(rows.select("doc_id", "text"), words, percent)
+    gone = C.written(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    kept = rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti")
+    many = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.where("doc_id is null").select("_row.*").unionByName(many.select("_row.*"))

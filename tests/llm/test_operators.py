@@ -72,6 +72,16 @@ def test_jaccard_components_equal_brute_force(spark, docs, none):
     assert jaccard.linked(none).isEmpty()
 
 
+def test_one_of_each_keeps_other_texts_of_a_doc_id(spark):
+    a, b, c, d = sorted(" ".join(prose(60, 700 + k)) for k in range(4))
+    rows = [(1, a, "z"), (1, a, "y"), (1, a, "x"), (1, b, "p"), (2, a + " more", "q"), (3, c, "q"), (4, d, "q"), (4, c, "p"), (4, None, "n"), (None, a, "q"), (None, a, "q")]
+    want = [(1, a, "x"), (1, b, "p"), (3, c, "q"), (4, d, "q"), (4, None, "n"), (None, a, "q"), (None, a, "q")]
+    for order in (rows, rows[::-1]):
+        got = jaccard.one_of_each(spark.createDataFrame(order, "doc_id long, text string, row string").repartition(3))
+        assert got.columns == ["doc_id", "text", "row"]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_divide_skip_equals_sets():
     for seed in range(60):
         own = np.random.default_rng(seed)
