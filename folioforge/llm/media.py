@@ -164,11 +164,11 @@ def feature(kind: int, samples: np.ndarray) -> str:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = False) -> DataFrame:
     """Each text's bytes stored as telephony audio, read back and measured. Equal texts get the same codec.
 
-    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and
-    with_media the stored file.
+    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    pcm_sha256 (of the resampled audio as a 16-bit WAV file), and with_media both stored files.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * with_media
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"] + ["media", "pcm"] * with_media
 
     def some(texts: list[bytes]) -> list[tuple]:
         files = []
@@ -188,7 +188,9 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = []
         for k, (t, f, (kind, rate, _, payload)) in enumerate(zip(texts, files, back, strict=True)):
             samples = audio[k] if k in audio else (MULAW_TABLE if kind == MULAW else ALAW_TABLE)[np.frombuffer(payload, np.uint8)]
-            out.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(kind, resample(samples, rate)), *[f] * with_media))
+            again = resample(samples, rate)
+            pcm = container(again.astype("<i2").tobytes(), PCM, RESAMPLED)
+            out.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(kind, again), hashlib.sha256(pcm).hexdigest(), *[f, pcm] * with_media))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,7 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             whole = data.tobytes()
             for i, j in C.chunks(offsets):
                 got = list(zip(*some([whole[offsets[k] : offsets[k + 1]] for k in range(i, j)]), strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_media
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * 2 * with_media
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(x, t) for x, t in zip(got, kinds, strict=True))], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string" + ", media binary, pcm binary" * with_media)

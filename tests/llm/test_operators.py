@@ -304,6 +304,16 @@ def test_media_round_trip(docs, none):
     assert media.text_media(none).isEmpty()
 
 
+def test_media_store_resampled_pcm(docs):
+    made = media.text_media(docs, with_media=True).cache()
+    for r in made.collect():
+        kind, rate, _, payload = media.opened(r.pcm)
+        assert (kind, rate) == (media.PCM, media.RESAMPLED) and hashlib.sha256(r.pcm).hexdigest() == r.pcm_sha256
+        assert payload == media.resample(*media.decode(r.media)).astype("<i2").tobytes()
+    stored = {(r.id, bytes(r.pcm)) for r in media.pcm_column(made, "doc_id", "media").collect()}
+    assert stored == {(r.doc_id, bytes(r.pcm)) for r in made.collect()}
+
+
 def test_codecs():
     assert (media.MULAW_TABLE[[0xFF, 0x7F, 0x00, 0x80]] == [0, 0, -32124, 32124]).all()
     assert (media.ALAW_TABLE[[0xD5, 0x55, 0x2A, 0xAA]] == [8, -8, -32256, 32256]).all()
