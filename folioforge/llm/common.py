@@ -13,17 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; bounds numpy's temporaries.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _WORKER: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = _WORKER.setdefault("own_dir", tempfile.mkdtemp(prefix="folioforge-"))
     return found
 
@@ -33,7 +35,29 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() wrote; nothing that is yet to run may read these tables."""
+    for df in tables:
+        if not hasattr(df, "_folder"):
+            continue
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """counted(..., count) with `level` (log2 of the count): the most frequent rows, whole levels, `most` rows at most."""
+    leveled = counted.withColumn("level", F.floor(F.log2(count)).cast("int"))
+    least, total = None, 0
+    for level, n in sorted(((r[0], r[1]) for r in leveled.groupBy("level").count().collect()), reverse=True):
+        if total + n > most:
+            break
+        least, total = level, total + n
+    return leveled.where(F.lit(False) if least is None else F.col("level") >= least)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,33 +112,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: An odd factor between the words of a gram.
+BASE = 0x9E3779B97F4A7C15
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: a-z for A-Z, every other byte as it is.
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i < n."""
-    held = _WORKER.get("powers")
-    if held is None or len(held[0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for base in (BASE, BASE_INVERSE):
-            x = np.full(size, np.uint64(base))
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        held = _WORKER["powers"] = tuple(both)
+def places(n: int) -> np.ndarray:
+    """An odd pseudo-random factor for each place below n: unlike powers of a base, no structure of a text cancels them out."""
+    held = _WORKER.get("places")
+    if held is None or len(held) < n:
+        size = max(n, 1 << 10)
+        held = _WORKER["places"] = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
     return held
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice values[start:end] (uint64 values), by one prefix sum of a polynomial."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each slice values[start:end] (uint64 values; slices neither empty nor overlapping): the sum of value times place factor."""
+    lengths = ends - starts
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    at = ragged(lengths, starts)
+    place = at - np.repeat(starts, lengths)
+    products = values[at] * places(int(lengths.max()))[place]
+    sums = np.add.reduceat(products, np.cumsum(lengths) - lengths)
+    return mix(sums + lengths.astype(np.uint64))
 
 
 def byte_table(is_word) -> np.ndarray:
@@ -158,7 +181,7 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     last = len(hashes) - n + 1
     out = np.zeros(last, np.uint64)
     for k in range(n):
-        out = out * np.uint64(BASE) + hashes[k : k + last]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(BASE) + hashes[k : k + last]
     return mix(out + np.uint64(n))
 
 

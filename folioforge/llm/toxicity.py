@@ -54,7 +54,7 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int = BI
         counts = np.maximum(lengths - size + 1, 0)
         first = C.ragged(counts, at[:-1])
         owners.append(np.repeat(np.arange(n), counts))
-        found.append(C.span_hashes(values, first, first + size))
+        found.append(C.gram_hashes(values, size)[first])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return (np.concatenate(found)[order] >> np.uint64(64 - bits)).astype(np.int64), np.searchsorted(owner[order], np.arange(n + 1))
