@@ -75,8 +75,8 @@ def render_value(c: Column, kind: str) -> Column:
 
 
 def utc_text(ts: Column) -> Column:
-    """A timestamp as text with its offset; the session's time zone is UTC."""
-    return F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("+00"))
+    """A timestamp as text with its offset, fractions of a second as far as there are; the session's time zone is UTC."""
+    return F.concat(ts.cast("string"), F.lit("+00"))
 
 
 def integer_prefix(text: str | None) -> int | None:

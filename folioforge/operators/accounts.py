@@ -5,6 +5,8 @@ Rewrites return the table's new contents; with one writer a token is used once a
 
 from __future__ import annotations
 
+import secrets
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -107,3 +109,72 @@ def offers_custom(entities: DataFrame, q: str) -> DataFrame:
     """One row, `offered`: whether the text is no entity's name, so that it may be added."""
     q = q.strip().lower()
     return entities.agg(((F.count_if(F.lower("entity") == q) == 0) & F.lit(bool(q))).alias("offered"))
+
+
+@dataclass(frozen=True)
+class Result:
+    """What an account action gives: data if it succeeded, else the reason."""
+
+    success: bool
+    data: dict | None = None
+    error: str | None = None
+
+
+class Actions:
+    """The account actions as compositions of the operations above, each on the versioned tables it needs.
+
+    Mail and sessions are the caller's: a requested token is returned, and so is a verified user's id.
+    """
+
+    def __init__(self, users: merge.VersionedTable, tokens: merge.VersionedTable, domains: merge.VersionedTable):
+        self.users, self.tokens, self.domains = users, tokens, domains
+
+    def request_link(self, email: str | None, now: datetime) -> Result:
+        """A new token for an allowed address (trimmed) that has none from a moment ago."""
+        email = email.strip() if isinstance(email, str) else ""
+        if not email:
+            return Result(False, error="an address is needed")
+        if not is_allowed(self.domains.read(), email):
+            return Result(False, error="the address's domain isn't allowed")
+        if recent_token_exists(self.tokens.read(), email, now):
+            return Result(False, error="a link was sent a moment ago")
+        token = secrets.token_hex(32)
+        row = self.tokens.spark.createDataFrame([(token, email.lower(), now + TOKEN_LIFE, None)], self.tokens.schema)
+        self.tokens.merge(row, lambda old, new: merge.insert_new(old, new, "token"))
+        return Result(True, {"email": email, "token": token})
+
+    def check_entity(self, token: str | None, now: datetime) -> Result:
+        """A live token's address, and the entity of its user if there is one."""
+        if not token or not isinstance(token, str):
+            return Result(False, error="a token is needed")
+        found = token_entities(self.tokens.lookup(token), self.users.read(), now).head()
+        if found is None:
+            return Result(False, error="the token is unknown, used or too old")
+        return Result(True, {"email": found.email, "hasEntity": found.entity is not None, "entity": found.entity})
+
+    def verify(self, token: str | None, now: datetime, entity: str | None = None) -> Result:
+        """Uses a live token, records its user's login and, if given, the entity; gives the user's id."""
+        if not token or not isinstance(token, str):
+            return Result(False, error="a token is needed")
+        wanted = self.tokens.spark.createDataFrame([(token,)], "token string")
+        found = live_tokens(self.tokens.lookup(token), now).head()
+        if found is None:
+            return Result(False, error="the link is unknown, used or too old")
+        self.tokens.merge(wanted, lambda old, new: consume(old, new, now)[0])
+        address = self.users.spark.createDataFrame([(found.email.lower(),)], "email string")
+        self.users.merge(address, lambda old, new: record_logins(old, new, now))
+        user = self.users.lookup(found.email.lower()).head()
+        if isinstance(entity, str) and entity.strip():
+            self.users.merge(address, lambda old, _: update_entity(old, user.id, entity))
+        return Result(True, {"userId": user.id})
+
+    def set_entity(self, user_id: str | None, entity: str | None) -> Result:
+        """The entity of a signed-in user."""
+        user = user_by_id(self.users.read(), user_id).head() if user_id else None
+        if user is None:
+            return Result(False, error="nobody is signed in")
+        if not isinstance(entity, str) or not entity.strip():
+            return Result(False, error="an entity is needed")
+        address = self.users.spark.createDataFrame([(user.email,)], "email string")
+        self.users.merge(address, lambda old, _: update_entity(old, user.id, entity))
+        return Result(True)

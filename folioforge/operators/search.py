@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import normalize as N
 
 LIMIT = 20
@@ -70,7 +71,7 @@ def detail(records: DataFrame, recid: str | int) -> DataFrame:
 def unpivoted(records: DataFrame) -> DataFrame:
     """(oai_identifier, pos, key, value): each record's fields as text, in display order."""
     kinds = dict(records.dtypes)
-    shown = [c for c in (*DETAIL_FIELDS, *[c for c in records.columns if c.startswith("dc_")]) if c in kinds]
+    shown = [c for c in (*DETAIL_FIELDS, *S.DC_COLUMNS) if c in kinds]
     rows = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(c).alias("key"), N.render_value(F.col(c), kinds[c]).alias("value")) for k, c in enumerate(shown)])
     return records.select(F.col("oai_identifier").alias("record"), F.explode(rows).alias("r")).select(F.col("record").alias("oai_identifier"), "r.pos", "r.key", "r.value")
 

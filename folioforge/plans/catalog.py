@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import engine
+from .. import schema as S
 from ..functions import normalize as N
 from ..operators import accounts as A
 from ..operators import merge as M
@@ -108,13 +111,17 @@ def detail_by_recid(spark, sf_dir):
     return _flat(R.detail(V.view(spark, sf_dir, "RECORDS"), "51abc"))
 
 
-_FIELDS = ("oai_identifier", "recid", _AT, "deleted", "source_set", "document_symbol", "title_primary", "publication_date_primary")
-_PAIRS = [(f if f != _AT else "datestamp", f"coalesce(cast({f} as varchar), '')") for f in _FIELDS] + [(c, _ARRAY.format(c)) for c in ("dc_identifier", "dc_subject")]
+_FIELDS = ("oai_identifier", "recid", _AT, "deleted", "metadata_prefix", "source_set", "source_url", "document_symbol", "title_primary", "publication_date_primary")
+_PAIRS = [(f if f != _AT else "datestamp", f"coalesce(cast({f} as varchar), '')") for f in _FIELDS] + [(c, _ARRAY.format(c)) for c in S.DC_COLUMNS]
+_MORE = ", ".join(f"case when recid % {k + 2} = 0 then null when recid % {k + 2} = 1 then [] else ['{c}', source_set, cast(recid as varchar)] end {c}" for k, c in enumerate(c for c in S.DC_COLUMNS if c not in ("dc_identifier", "dc_subject")))
 
 
-@query(_bib(" union all ".join(f"select oai_identifier, cast({k} as int) pos, '{n}' as key, {v} as value from bib" for k, (n, v) in enumerate(_PAIRS))))
+@query(f"with bib as (select *, 'oai_dc' metadata_prefix, case when recid % 2 = 0 then 'http://feed.example' end source_url, {_MORE} from ({V.RECORDS_SQL}))" + " union all ".join(f" select oai_identifier, cast({k} as int) pos, '{n}' as key, {v} as value from bib" for k, (n, v) in enumerate(_PAIRS)))
 def detail_unpivot(spark, sf_dir):
-    return R.unpivoted(V.view(spark, sf_dir, "RECORDS"))
+    """All 25 fields in display order."""
+    more = [c for c in S.DC_COLUMNS if c not in ("dc_identifier", "dc_subject")]
+    texts = {c: F.when(F.col("recid") % (k + 2) == 1, F.array().cast("array<string>")).when(F.col("recid") % (k + 2) != 0, F.array(F.lit(c), F.col("source_set"), F.col("recid").cast("string"))) for k, c in enumerate(more)}
+    return R.unpivoted(V.view(spark, sf_dir, "RECORDS").withColumns({"metadata_prefix": F.lit("oai_dc"), "source_url": F.when(F.col("recid") % 2 == 0, "http://feed.example"), **texts}))
 
 
 @query(_bib(f"select recid, coalesce(nullif({_SHOWN}, ''), 'RECID ' || recid) label, coalesce(nullif({_SHOWN}, ''), {_TITLE}, 'RECID ' || recid) heading, coalesce(nullif(publication_date_primary, ''), strftime(datestamp, '%Y-%m-%d')) shown_date from bib"))
@@ -267,14 +274,32 @@ def parse_dc_pages(spark, sf_dir):
     return rows.select("recid", "deleted", "source_set", "document_symbol", "title_primary", F.array_join("dc_subject", "|").alias("subjects"))
 
 
-@query("select cast(doc_id as bigint) recid, case when doc_id % 17 <> 0 then 'lead ' || doc_id || ' ' end leader, case when doc_id % 17 <> 0 then lang end language, case when doc_id % 17 <> 0 then '[ ][1]' end indicators from documents")
+@query("select cast(doc_id as bigint) recid, case when doc_id % 17 <> 0 then 'lead ' || doc_id || ' ' end leader, case when doc_id % 17 <> 0 then lang end language, case when doc_id % 17 <> 0 then '[ ][1]' end indicators, case when doc_id % 17 <> 0 then '<ns0:metadata xmlns:ns0=\"http://www.openarchives.org/OAI/2.0/\" xmlns:ns1=\"http://www.loc.gov/MARC21/slim\"><ns1:record><ns1:leader>lead ' || doc_id || ' </ns1:leader><ns1:controlfield tag=\"001\">' || doc_id || '</ns1:controlfield><ns1:datafield tag=\"041\" ind2=\"1\"><ns1:subfield code=\"a\">' || lang || '</ns1:subfield></ns1:datafield></ns1:record></ns0:metadata>' end marcxml_xml from documents")
 def parse_marc_pages(spark, sf_dir):
     marc = """'<m:record xmlns:m="http://www.loc.gov/MARC21/slim"><m:leader>lead ', doc_id, ' </m:leader><m:controlfield tag="001">', doc_id, '</m:controlfield><m:datafield tag="041" ind2="1"><m:subfield code="a">', lang, '</m:subfield></m:datafield></m:record>'"""
     rows = pages.records(pages.parsed(_pages(spark, sf_dir, marc), "marcxml"), "marcxml")
     j = F.col("marcxml_json")
-    return rows.select("recid", j["leader"].alias("leader"), F.get(F.get(j["datafields"], 0)["subfields"], 0)["value"].alias("language"), F.concat(F.lit("["), F.get(j["datafields"], 0)["ind1"], F.lit("]["), F.get(j["datafields"], 0)["ind2"], F.lit("]")).alias("indicators"))
+    return rows.select("recid", j["leader"].alias("leader"), F.get(F.get(j["datafields"], 0)["subfields"], 0)["value"].alias("language"), F.concat(F.lit("["), F.get(j["datafields"], 0)["ind1"], F.lit("]["), F.get(j["datafields"], 0)["ind2"], F.lit("]")).alias("indicators"), "marcxml_xml")
 
 
 @query("select '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as json from region")
 def csv_to_json_records(spark, sf_dir):
-    return files.json_rows(spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name"))
+    """Region as a headed CSV, its types inferred again, as one JSON text a row."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/region-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name").write.option("header", True).csv(path)
+    return files.json_rows(files.read_csv(spark, path))
+
+
+@query("select n_name as entity, n_regionkey as region from nation where n_regionkey > 1 and n_name <> '$1' order by n_name")
+def parameterised_query(spark, sf_dir):
+    """SQL with bound parameters; a $ within quotes is none."""
+    spark.read.parquet(f"{sf_dir}/nation.parquet").createOrReplaceTempView("nation_rows")
+    return engine.bound(spark, "select n_name as entity, n_regionkey as region from nation_rows where n_regionkey > $1 and n_name <> '$1' order by n_name limit $2", [1, 1000])
+
+
+@query("select * from (values " + ", ".join(f"('{e}', '{d}')" for e, d in S.ALLOWED_DOMAINS) + ") t(entity, domain)")
+def seeded_domains(spark, sf_dir):
+    """The domains that are allowed from the start, inserted twice."""
+    rows = spark.createDataFrame(list(S.ALLOWED_DOMAINS), S.DOMAINS)
+    return M.insert_ignore(M.insert_ignore(rows.limit(0), rows, ["entity", "domain"]), rows, ["entity", "domain"])

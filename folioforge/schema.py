@@ -30,3 +30,45 @@ USERS = T.StructType([T.StructField("id", _text), T.StructField("email", _text),
 TOKENS = T.StructType([T.StructField("token", _text), T.StructField("email", _text), T.StructField("expires_at", T.TimestampType()), T.StructField("used_at", T.TimestampType())])
 DOMAINS = T.StructType([T.StructField("entity", _text), T.StructField("domain", _text)])
 ENTITIES = T.StructType([T.StructField("entity", _text), T.StructField("entity_long", _text)])
+
+#: The mail domains that are allowed from the start, with the entity they belong to ('*': any).
+ALLOWED_DOMAINS = (
+    ("*", "un.org"),
+    ("UNDP", "undp.org"),
+    ("UNICEF", "unicef.org"),
+    ("UNFPA", "unfpa.org"),
+    ("WFP", "wfp.org"),
+    ("UNHCR", "unhcr.org"),
+    ("UNRWA", "unrwa.org"),
+    ("UN-Habitat", "unhabitat.org"),
+    ("UNEP", "unep.org"),
+    ("UNODC", "unodc.org"),
+    ("UN-Women", "unwomen.org"),
+    ("WHO", "who.int"),
+    ("UNESCO", "unesco.org"),
+    ("ILO", "ilo.org"),
+    ("FAO", "fao.org"),
+    ("IFAD", "ifad.org"),
+    ("IMO", "imo.org"),
+    ("ICAO", "icao.int"),
+    ("ITU", "itu.int"),
+    ("UPU", "upu.int"),
+    ("WIPO", "wipo.int"),
+    ("UNIDO", "unido.org"),
+    ("UNWTO", "unwto.org"),
+    ("WMO", "wmo.int"),
+    ("IAEA", "iaea.org"),
+    ("WTO", "wto.org"),
+    ("IOM", "iom.int"),
+    ("ICJ", "icj-cij.org"),
+    ("ECLAC", "cepal.org"),
+    ("ESCAP", "un.org"),
+    ("ESCWA", "un.org"),
+    ("ECA", "un.org"),
+    ("ECE", "un.org"),
+    ("UNCTAD", "unctad.org"),
+    ("ITC", "intracen.org"),
+    ("UNAIDS", "unaids.org"),
+    ("UNSSC", "unssc.org"),
+    ("UNU", "unu.edu"),
+)

@@ -33,6 +33,10 @@ RECORDS = T.StructType(
 )
 
 
+#: Parsed rows that are handed on together.
+ROWS = 5000
+
+
 class FeedError(RuntimeError):
     def __init__(self, code: str, message: str):
         super().__init__(f"{code}: {message}")
@@ -67,22 +71,22 @@ def marc_payload(record: ET.Element) -> tuple[str | None, dict | None]:
         {"tag": e.get("tag", ""), "ind1": e.get("ind1", " "), "ind2": e.get("ind2", " "), "subfields": [{"code": x.get("code", ""), "value": _text(x)} for x in e.findall(f"{MARC}subfield")]}
         for e in payload.findall(f"{MARC}datafield")
     ]
-    return ET.tostring(payload, "unicode"), {"leader": leader.text if leader is not None else None, "controlfields": control, "datafields": data}
+    return ET.tostring(metadata, "unicode"), {"leader": leader.text if leader is not None else None, "controlfields": control, "datafields": data}
 
 
-def page_rows(xml: str, page_no: int, prefix: str) -> Iterator[dict]:
+def page_rows(xml: str | bytes, page_no: int, prefix: str) -> Iterator[dict]:
     root = ET.fromstring(xml)
     error = root.find(f"{OAI}error")
     if error is not None:
-        yield {"page_no": page_no, "pos": -1, "error_code": error.get("code", ""), "error_message": _text(error)}
+        yield {"page_no": page_no, "pos": -1, "error_code": error.get("code", "unknown"), "error_message": _text(error)}
         return
-    yield {"page_no": page_no, "pos": -1, "resumption_token": _text(root.find(f"{OAI}ListRecords/{OAI}resumptionToken")) or None}
-    for pos, record in enumerate(root.findall(f"{OAI}ListRecords/{OAI}record")):
+    yield {"page_no": page_no, "pos": -1, "resumption_token": _text(root.find(f".//{OAI}resumptionToken")) or None}
+    for pos, record in enumerate(root.iter(f"{OAI}record")):
         header = record.find(f"{OAI}header")
         if header is None:
             continue
         deleted = header.get("status") == "deleted"
-        row = {"page_no": page_no, "pos": pos, "oai_identifier": _text(header.find(f"{OAI}identifier")), "datestamp": _text(header.find(f"{OAI}datestamp")), "deleted": deleted, "source_set": _text(header.find(f"{OAI}setSpec")) or None}
+        row = {"page_no": page_no, "pos": pos, "oai_identifier": header.findtext(f"{OAI}identifier", ""), "datestamp": header.findtext(f"{OAI}datestamp", ""), "deleted": deleted, "source_set": header.findtext(f"{OAI}setSpec")}
         if prefix == "oai_dc":
             row |= {c: [] for c in S.DC_COLUMNS} if deleted else dublin_core(record)
         else:
@@ -91,15 +95,22 @@ def page_rows(xml: str, page_no: int, prefix: str) -> Iterator[dict]:
 
 
 def parsed(pages: DataFrame, prefix: str) -> DataFrame:
-    """RECORDS of pages(page_no, xml)."""
+    """RECORDS of pages(page_no, xml); xml is text, or the bytes as they came."""
     arrow = to_arrow_schema(RECORDS)
 
+    def whole(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page_no, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(page_rows(xml, page_no, prefix)) if xml else []
-                if rows:
-                    yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in arrow} for r in rows], schema=arrow)
+            held: list[dict] = []
+            for page_no, xml in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held += page_rows(xml.as_py(), page_no, prefix) if xml.is_valid and len(xml.as_py()) else ()
+                if len(held) >= ROWS:
+                    yield whole(held)
+                    held = []
+            if held:
+                yield whole(held)
 
     return pages.select(F.col("page_no").cast("int"), F.col("xml")).mapInArrow(run, RECORDS)
 
@@ -107,7 +118,7 @@ def parsed(pages: DataFrame, prefix: str) -> DataFrame:
 def records(found: DataFrame, prefix: str, source_url: str | None = None) -> DataFrame:
     """Typed rows of a harvest pass from what parsed() gave."""
     rows = found.where("pos >= 0")
-    header = [F.col("oai_identifier"), N.parse_recid(F.col("oai_identifier")).alias("recid"), F.to_timestamp("datestamp").alias("datestamp"), F.col("deleted"), F.col("source_set"), F.lit(source_url).cast("string").alias("source_url")]
+    header = [F.col("oai_identifier"), N.parse_recid(F.col("oai_identifier")).alias("recid"), F.to_timestamp(F.trim("datestamp")).alias("datestamp"), F.col("deleted"), F.col("source_set"), F.lit(source_url).cast("string").alias("source_url")]
     order = [F.col("page_no"), F.col("pos")]
     if prefix == "oai_dc":
         normal = [N.extract_symbol(F.col("dc_identifier")).alias("document_symbol"), N.first_of(F.col("dc_title")).alias("title_primary"), N.first_of(F.col("dc_date")).alias("publication_date_primary")]

@@ -1,7 +1,7 @@
 """Landed pages to the record table, as a stream with a checkpoint.
 
-A batch of pages is parsed on the executors, merged set-wise and published as one version. The manifest holds the
-batch id, so a batch that is run again after a failure isn't applied twice.
+A batch of pages is parsed on the executors and merged set-wise into the buckets of the table that it touches, as one
+version. The log holds the batch id and its counts, so a batch that is run again after a failure isn't applied twice.
 """
 
 from __future__ import annotations
@@ -17,10 +17,10 @@ from ..sources import pages
 
 
 def landed(spark: SparkSession, folder: str, pages_a_batch: int = 1000) -> DataFrame:
-    """A stream of pages(page_no, xml) from numbered files."""
-    files = spark.readStream.schema("value string").option("wholetext", True).option("maxFilesPerTrigger", pages_a_batch).option("pathGlobFilter", "*.xml").text(folder)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)\.xml$", 1).cast("int")
-    return files.select(number.alias("page_no"), F.col("value").alias("xml"))
+    """A stream of pages(page_no, xml) from numbered files, as bytes: a page says itself how it is encoded."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", pages_a_batch).option("pathGlobFilter", "*.xml").load(folder)
+    number = F.regexp_extract(F.col("path"), r"([0-9]+)\.xml$", 1).cast("int")
+    return files.select(number.alias("page_no"), F.col("content").alias("xml"))
 
 
 def ingest(spark: SparkSession, folder: str, prefix: str, table: merge.VersionedTable, checkpoint: str, source_url: str | None = None, now: datetime | None = None, pages_a_batch: int = 1000) -> StreamingQuery:
@@ -32,7 +32,8 @@ def ingest(spark: SparkSession, folder: str, prefix: str, table: merge.Versioned
             if error := pages.first_error(rows):
                 raise pages.FeedError(*error)
             stamp = now or datetime.now()
-            table.publish(merge.upsert(table.read(), pages.records(rows, prefix, source_url), prefix, stamp), batch=f"{prefix}-{number}")
+            counts = rows.agg(F.count_if(F.col("pos") < 0).alias("pages"), F.count_if(F.col("pos") >= 0).alias("records")).head()
+            table.merge(pages.records(rows, prefix, source_url), lambda old, new: merge.upsert(old, new, prefix, stamp), batch=f"{prefix}-{number}", pages=counts[0], records=counts[1])
         finally:
             rows.unpersist()
 

@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folioforge import cli, engine
 from folioforge import schema as S
 from folioforge.functions import normalize as N
 from folioforge.operators import accounts, merge, search
@@ -44,6 +46,7 @@ def test_marc_pages(spark, form):
     inner = f'<{p}leader> L </{p}leader><{p}controlfield tag="001"> 7 </{p}controlfield><{p}datafield tag="245" ind2="1"><{p}subfield code="a"></{p}subfield></{p}datafield>'
     one, bare, gone = rows(spark, page(record("oai:h:1", f"<metadata>{form.format(inner)}</metadata>"), record("oai:h:2", "<metadata><x/></metadata>"), record("oai:h:3", status="deleted")), "marcxml")
     m = one.marcxml_json
+    assert one.marcxml_xml.startswith("<ns0:metadata") and one.marcxml_xml.rstrip().endswith("</ns0:metadata>")
     assert m.leader == " L " and (m.controlfields[0].tag, m.controlfields[0].value) == ("001", "7")
     assert (m.datafields[0].ind1, m.datafields[0].ind2, m.datafields[0].subfields[0].value) == (" ", "1", "")
     assert bare.marcxml_xml and bare.marcxml_json is None and gone.marcxml_xml is None and gone.marcxml_json is None
@@ -57,31 +60,123 @@ def test_feed_error_page(spark):
 def test_urls_and_prefixes():
     assert "from=f" in feed.build_url("http://h", "oai_dc", "f") and "metadataPrefix=oai_dc" in feed.build_url("http://h", "oai_dc", "f")
     assert feed.build_url("http://h", "oai_dc", "f", token="a b") == "http://h?verb=ListRecords&resumptionToken=a+b"
-    assert feed.prefixes_of(" oai_dc, ,marcxml") == ["oai_dc", "marcxml"]
-    with pytest.raises(ValueError):
+    assert feed.prefixes_of(" oai_dc, ,marcxml") == ["oai_dc", "marcxml"] and feed.prefixes_of("") == []
+    with pytest.raises(feed.BadConfiguration):
         feed.prefixes_of("other")
 
 
-def test_harvest_resumes_without_loss(spark, tmp_path):
-    answers = {None: page(record("oai:h:1", dc("<dc:title>one</dc:title>")), record("oai:h:1", dc("<dc:title>two</dc:title>")), token="t1"), "t1": page(record("oai:h:2", dc("<dc:title>x</dc:title>"))), }
+ANSWERS = {None: page(record("oai:h:1", dc("<dc:title>one</dc:title>")), record("oai:h:1", dc("<dc:title>two</dc:title>")), token="t1"), "t1": page(record("oai:h:2", dc("<dc:title>x</dc:title>")), token="t2"), "t2": page(record("oai:h:3", dc("<dc:title>é</dc:title>"))).encode("latin-1")}
+ANSWERS["t2"] = b'<?xml version="1.0" encoding="ISO-8859-1"?>' + ANSWERS["t2"]
 
-    def get(url, timeout):
-        return answers["t1" if "resumptionToken=t1" in url else None]
 
-    job = feed.Harvest("http://h", tmp_path / "land", max_pages=1, get=get, wait=lambda s: None)
-    state = tmp_path / "s" / "state.json"
-    assert feed.harvest(job, ["oai_dc"], state) == feed.OK and feed.load_state(state)["prefixes"]["oai_dc"]["resumptionToken"] == "t1"
-    table = merge.VersionedTable(spark, str(tmp_path / "table"), S.DOCUMENTS, merge.KEY)
-    run = lambda: ingest.ingest(spark, str(tmp_path / "land/oai_dc"), "oai_dc", table, str(tmp_path / "check"), now=NOW).awaitTermination()
+def answer(url, timeout):
+    return next((v for k, v in ANSWERS.items() if k and f"resumptionToken={k}" in url), ANSWERS[None])
+
+
+def test_harvest_resumes_without_loss(spark, tmp_path):
+    journal = feed.Journal(spark, str(tmp_path / "s" / "state.json"))
+    job = feed.Harvest(spark, "http://h", str(tmp_path / "land"), journal, max_pages=1, get=answer, wait=lambda s: None, say=lambda t: None)
+    job.run("oai_dc")
+    assert journal.entries()["oai_dc"]["resumptionToken"] == "t1"
+    table = merge.VersionedTable(spark, str(tmp_path / "table"), S.DOCUMENTS, merge.KEY, buckets=3)
+    run = lambda: ingest.ingest(spark, job.folder("oai_dc"), "oai_dc", table, str(tmp_path / "check"), now=NOW).awaitTermination()
     run()
-    assert feed.harvest(job, ["oai_dc"], state, resume=True) == feed.OK and feed.load_state(state)["prefixes"]["oai_dc"]["resumptionToken"] is None
+    job.max_pages = 0
+    assert job.run("oai_dc", resume=True)["pagesFetched"] == 2 and journal.entries()["oai_dc"]["resumptionToken"] is None
     run()
     run()
     got = {r.recid: r for r in table.read().collect()}
-    assert sorted(got) == [1, 2] and got[1].title_primary == "two" and got[1].metadata_prefix == merge.BOTH and got[2].metadata_prefix == "oai_dc"
-    assert [e["batch"] for e in table.log()] == ["oai_dc-0", "oai_dc-1"]
+    assert sorted(got) == [1, 2, 3] and got[1].title_primary == "two" and got[1].metadata_prefix == merge.BOTH and got[2].metadata_prefix == "oai_dc" and got[3].title_primary == "é"
+    assert [(e["batch"], e["pages"], e["records"]) for e in table.log()] == [("oai_dc-0", 1, 2), ("oai_dc-1", 2, 2)]
     table.publish(table.read(), batch="oai_dc-1")
-    assert len(table.log()) == 2
+    assert len(table.log()) == 2 and table.lookup("oai:h:2").head().recid == 2
+
+
+def test_harvest_goes_on_behind_a_lost_connection(spark, tmp_path):
+    """The token of each landed page is kept: what failed is fetched again under its own number, and nothing twice."""
+    broken = {"t1"}
+
+    def get(url, timeout):
+        for k in sorted(broken):
+            if f"resumptionToken={k}" in url:
+                broken.discard(k)
+                raise OSError("lost")
+        return answer(url, timeout)
+
+    said = []
+    journal = feed.Journal(spark, str(tmp_path / "state.json"))
+    job = feed.Harvest(spark, "http://h", str(tmp_path / "land"), journal, get=get, wait=lambda s: None, say=said.append)
+    with pytest.raises(OSError):
+        job.run("oai_dc")
+    assert journal.entries()["oai_dc"] | {"updatedAt": ""} == {"updatedAt": "", "resumptionToken": "t1", "recordsWritten": 2, "pagesFetched": 1, "from": None, "until": None, "set": None, "nextPage": 1}
+    job.run("oai_dc", resume=True)
+    assert [p.name for p in sorted((tmp_path / "land/oai_dc").glob("*.xml"))] == ["00000000.xml", "00000001.xml", "00000002.xml"] and len(said) == 3
+    text = (tmp_path / "state.json").read_text()
+    assert text.endswith("}\n") and text.index('"from"') < text.index('"nextPage"') < text.index('"until"')
+
+
+def test_command_line(spark, tmp_path, capsys):
+    base = ["--store", str(tmp_path), "--base-url", "http://h", "--sleep", "0"]
+    say = []
+    assert cli.main(["--prefixes", "oai_dc,x"], spark) == 2 and cli.main(["--prefixes", "oai_dc"], spark) == 2
+    assert cli.main([*base, "--prefixes", "oai_dc", "--max-records", "2"], spark, answer, say.append) == 0
+    assert cli.main([*base, "--prefixes", "oai_dc", "--resume"], spark, answer, say.append) == 0
+    store = engine.Engine(spark, f"{tmp_path}/tables")
+    assert sorted(r[0] for r in store.query("select recid from documents where recid > $1 and title_primary <> $2", [0, "x"]).collect()) == [1, 3]
+    error = f'<OAI-PMH {NS}><error> gone </error></OAI-PMH>'
+    assert cli.main([*base, "--prefixes", "marcxml"], spark, lambda url, timeout: error, say.append) == 3
+    assert "feed error unknown: gone (marcxml)" in capsys.readouterr().err
+    assert set(feed.Journal(spark, f"{tmp_path}/state.json").entries()) == {"marcxml"} and store.table("allowed_domains").count() == len(S.ALLOWED_DOMAINS)
+
+
+def test_engine_tables(spark, tmp_path):
+    store = engine.Engine(spark, str(tmp_path))
+    store.create()
+    store.create()
+    assert store.table("users").isEmpty() and store.query("select count(*) n from allowed_domains where entity = '*' and domain <> '$9'").head().n == 1
+    with pytest.raises(ValueError):
+        store.query("select $1")
+    users = store.tables["users"]
+    row = spark.createDataFrame([("i", "a@x", None, NOW, NOW, None)], S.USERS)
+    users.merge(row, lambda old, new: old.unionByName(new))
+    for bad, error in ((row, merge.KeyConflict), (row.withColumn("id", F.lit(None).cast("string")).withColumn("email", F.lit("b@x")), merge.MissingValue), (row.withColumn("email", F.lit(None).cast("string")), merge.KeyConflict)):
+        with pytest.raises(error):
+            users.merge(bad, lambda old, new: old.unionByName(new))
+    assert users.read().count() == 1
+    wider = merge.VersionedTable(spark, users.path, T.StructType([*S.USERS.fields, T.StructField("tags", T.ArrayType(T.StringType()))]), "email", defaults={"tags": F.array()})
+    assert not wider.create() and wider.read().head().tags == []
+    with pytest.raises(ValueError):
+        merge.VersionedTable(spark, users.path, T.StructType([T.StructField("email", T.LongType())]), "email").create()
+
+
+def test_merges_touch_only_their_buckets(spark, tmp_path):
+    table = merge.VersionedTable(spark, str(tmp_path), T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())]), "k", buckets=8)
+    table.publish(spark.range(200).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    new = spark.createDataFrame([(5, "new"), (1000, "new")], "k long, v string")
+    table.merge(new, lambda old, rows: old.join(rows, "k", "left_anti").unionByName(rows))
+    before, after = (e["folders"] for e in table.log())
+    assert len(before) == 8 and 1 <= sum(before[b] != after[b] for b in after) <= 2
+    got = {r.k: r.v for r in table.read().collect()}
+    assert len(got) == 201 and got[5] == got[1000] == "new" and sum(v == "new" for v in got.values()) == 2
+
+
+def test_account_actions(spark, tmp_path):
+    store = engine.Engine(spark, str(tmp_path))
+    store.tables["allowed_domains"].publish(spark.createDataFrame([("*", "x.org")], S.DOMAINS))
+    act = accounts.Actions(store.tables["users"], store.tables["magic_tokens"], store.tables["allowed_domains"])
+    assert not act.request_link("  ", NOW).success and not act.request_link("a@y.org", NOW).success and not act.request_link(None, NOW).success
+    asked = act.request_link(" A@X.org ", NOW)
+    assert asked.success and len(asked.data["token"]) == 64 and not act.request_link("a@x.org", NOW).success
+    token = asked.data["token"]
+    assert act.check_entity(token, NOW).data == {"email": "a@x.org", "hasEntity": False, "entity": None}
+    done = act.verify(token, NOW, "  E ")
+    assert done.success and store.table("users").head().entity == "E" and store.table("users").head().id == done.data["userId"]
+    assert not act.verify(token, NOW).success and not act.check_entity(token, NOW).success and not act.verify("", NOW).success
+    again = act.request_link("a@x.org", NOW + timedelta(minutes=3))
+    assert act.check_entity(again.data["token"], NOW + timedelta(minutes=3)).data["entity"] == "E"
+    assert act.verify(again.data["token"], NOW + timedelta(minutes=3)).data == done.data
+    assert not act.set_entity(None, "F").success and not act.set_entity(done.data["userId"], " ").success and act.set_entity(done.data["userId"], " F ").success
+    assert store.table("users").head().entity == "F" and store.table("users").count() == 1
 
 
 def test_upsert_groups_and_replay(spark):
