@@ -94,14 +94,77 @@ def test_divide_skip_equals_sets():
         assert jaccard.divide_skip(base, others) == want
 
 
-def test_marks_never_claim_too_much():
-    draw = np.random.default_rng(5)
-    for n, m, both in ((40, 41, 38), (500, 520, 470), (9, 300, 4), (3000, 2600, 2500), (1, 1, 1), (1, 7, 0)):
-        pool = draw.integers(0, 2**63, n + m - both).astype(np.uint64)
-        x, y = pool[:n], pool[n - both :]
-        assert jaccard.apart(jaccard.mark(x), jaccard.mark(y)) <= n + m - 2 * both
-    x, y = draw.integers(0, 2**63, (2, 400)).astype(np.uint64)
-    assert jaccard.apart(jaccard.mark(x), jaccard.mark(y)) > 800 - 2 * jaccard.needed(400, 400)
+def test_short_lists_met_bounds_hold(spark):
+    """Linked sets meet in as many short lists as meets_enough asks for, and first where meets_first allows it, whatever the order."""
+    draw, rows = np.random.default_rng(5), []
+    for _ in range(300):
+        n = int(draw.integers(1, 90))
+        base = draw.permutation(4000)[:n]
+        x = np.sort(base.astype(np.uint64))
+        y = np.unique(np.append(base[draw.random(n) < 0.93], draw.integers(0, 4000, draw.integers(0, 4)))).astype(np.uint64)
+        if not len(y) or 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+            continue
+        keys = np.sort(draw.permutation(4000)[:500]).astype(np.uint64)
+        common = (keys, draw.integers(1, 5, 500).astype(np.int8))
+        whole = [jaccard.ordered(s, common)[0].tolist() for s in (x, y)]
+        short = [set(s[: len(s) - jaccard.aside(len(s))]) for s in whole]
+        first = next(v for v in whole[0] if v in whole[1])
+        rows.append((len(short[0] & short[1]), len(x), len(y), whole[0].index(first) + 1, whole[1].index(first) + 1))
+    bad = ~(jaccard.meets_enough("k", "n", "m") & jaccard.meets_first("i", "n", "j", "m") & jaccard.sizes_allow("n", "m"))
+    assert len(rows) > 50 and spark.createDataFrame(rows, "k int, n int, m int, i int, j int").where(bad).isEmpty()
+
+
+def test_listed_holds_lists_across_batches():
+    rows = [(1, 0, 5, 9, 1), (2, 0, 1, 4, 2), (2, 0, 3, 4, 3), (2, 0, 6, 5, 1), (3, 0, 2, 2, 1), (4, 1, 8, 3, 2), (4, 2, 7, 3, 1), (4, 2, 9, 1, 1), (6, 0, 1, 1, 1), (6, 0, 2, 1, 1)]
+    want = [(*rows[1], 1, 4), (*rows[2], 1, 4), (*rows[3], 1, 4), (*rows[5], 8, 3), (*rows[6], 7, 3), (*rows[7], 7, 3), (*rows[8], 1, 1), (*rows[9], 1, 1)]
+    for size in range(1, 11):
+        batches = pa.Table.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["shingle", "part", "doc_id", "n", "at"]).to_batches(size)
+        got = [r for b in jaccard.listed(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert got == want
+
+
+def thue_morse(n: int, x: str, y: str) -> tuple[str, str]:
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_hashes_of_structured_words_differ():
+    """Two words that collide in any polynomial hash modulo 2 ** 64: their ids, shingles and seeds differ."""
+    x, y = thue_morse(12, "a", "b")
+    data, offsets = C.text_buffers(pa.array([x, y]))
+    hashes = C.word_hashes(data, offsets, C.SPACE_WORDS)[0]
+    assert hashes[0] != hashes[1]
+    one, two = (np.array(list(map(ord, t)), np.uint64) for t in thue_morse(5, "a", "b"))
+    assert passages.windows(C.mix(one), len(one))[0] != passages.windows(C.mix(two), len(two))[0]
+    model = pretokens.encoder(pack.vocabulary())
+    library = Tokenizer.from_file(pack.vocabulary())
+    ids, at = model.encode_added(data, offsets)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in (0, 1)] == [library.encode(t, add_special_tokens=False).ids for t in (x, y)]
+
+
+def test_jaccard_components_of_dense_groups(spark, monkeypatch):
+    """Groups around the threshold, with lists in parts and in blocks."""
+    monkeypatch.setattr(jaccard, "PART", 4)
+    monkeypatch.setattr(jaccard, "COMMON_LEAST", 2)
+    draw, texts = np.random.default_rng(11), []
+    for g in range(3):
+        base = prose(100, 50 + g)
+        for _ in range(30):
+            own = list(base)
+            for k in draw.permutation(100)[: draw.integers(0, 5)]:
+                own[k] = "".join(draw.choice(list("xyz"), 6))
+            texts.append(" ".join(own))
+    texts = [texts[k] for k in draw.permutation(len(texts))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                a, b = sorted((label[x], label[y]))
+                label = [a if v == b else v for v in label]
+    got = jaccard.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(label)) and 6 < len(set(label)) < 80
 
 
 def test_components(spark):
@@ -163,6 +226,23 @@ def test_secrets_equal_brute_force(spark, docs, none):
     assert secrets.secret_report(none).isEmpty() and secrets.redacted(none).isEmpty()
 
 
+def test_secrets_of_very_long_texts(spark):
+    """Candidates of 100,000 parts, and texts of 100,000 matches, take neither stack nor quadratic time."""
+    texts = ["key " + "a-1-" * 100_000 + "a", "k2=" * 100_000, "secret=abcdefgh1 " * 100_000, "x " + "9fQ7" * 50_000, " ".join(["AKIA" + "B7" * 8] * 30_000)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.secret_report(table).collect()}
+    assert [got[k].n_assign for k in range(5)] == [0, 0, 100_000, 0, 0] and got[4].n_access == 30_000
+    for k, t in enumerate(texts):
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[x]}:{a}:{b}" for a, x, b in brute_secrets(t)).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in secrets.redacted(table).collect()}
+    for k, t in enumerate(texts):
+        out, at = [], 0
+        for start, end in (map(int, x.split(":")[1:]) for x in got[k].spans.split(",") if x):
+            out += [t[at:start], "[SECRET]"] if start >= at else []
+            at = max(at, end)
+        assert clean[k] == "".join(out) + t[at:]
+
+
 def test_window_entropy_equals_direct(spark):
     texts = ["a1B2c3D4e5F6g7H8i9J0", "aaaaaaaaaaaaaaaaaaaab", "".join(rng.choice(list("abc123"), 60)), "0123456789abcdef" * 4]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.window_entropy(F.col("t"))).collect()]
@@ -201,11 +281,23 @@ def test_packing(spark, docs, none):
         assert (p.ids[-1] == 1) or p.start + p.length < p.doc_tokens
     placed = pack.pack_documents(docs).toPandas().sort_values(["sequence_id", "offset"])
     assert len(placed) == len(pieces)
+    full = placed.length == 2048
+    assert full.any() and placed[full].sequence_id.is_unique and not set(placed[full].sequence_id) & set(placed[~full].sequence_id)
     sums = placed.groupby("sequence_id").length.cumsum()
     assert (placed.offset == sums - placed.length).all() and sums.max() <= 2048
     assert pack.pack_documents(none).isEmpty()
 
 
+def test_memo_hits_are_compared(monkeypatch):
+    """Pieces whose hashes collide still get their own ids."""
+    library, model = Tokenizer.from_file(pack.vocabulary()), pretokens.Encoder(pack.vocabulary())
+    monkeypatch.setattr(C, "span_hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+    texts = ["one two six", "ten", "", "the end, é"]
+    for some in (texts, texts[::-1]):
+        ids, at = model.encode(*C.text_buffers(pa.array(some, pa.string())))
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(some))] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_patterns_meet_demand():
     own = np.random.default_rng(4)
     demand = {int(s): int(n) for s, n in zip(range(1, 257), own.integers(0, 400, 256), strict=True)}
