@@ -1,13 +1,15 @@
 """Secret scans with DataFrame functions alone: patterns, and Shannon entropy in a sliding window.
 
 Patterns give the kinds assign, access and hex. Further candidates are runs of 20 and more key characters that hold a
-letter and a digit. Each is of one character class (hex or base64); a window of 20 characters slides over it, and the
-sum of n log n over its characters' counts n is kept up by the counts of the one character that leaves and the one
-that enters. A candidate whose highest window entropy reaches its class's threshold is a span, unless the allow-list
+letter and a digit. Each is of one character class (hex or base64); a window of 20 characters slides over it. The counts
+of the window's characters are carried along, five bits each in six numbers, and with them the sum of n log n over the
+counts n: a step changes those of the character that leaves and of the one that enters. A candidate whose highest window entropy reaches its class's threshold is a span, unless the allow-list
 knows it. Spans are in code points, end exclusive.
 
 Positions come from splitting the text by a pattern and from the matches between the parts, so a text is gone through
-once a pattern, and only if it has a match at all.
+once a pattern, and only if it has a match at all. Positions are summed up by blocks of matches, so that many matches in
+a text cost little more than their number. No pattern repeats a group but possessively: Java's matcher would need stack
+for each repetition.
 
 Defined results: a null text counts as empty: no spans, and a redacted null stays null; rows with equal or null
 doc_id are scanned each by itself; an empty table gives no rows; other columns are ignored or, by redacted(), kept.
@@ -16,6 +18,7 @@ doc_id are scanned each by itself; an empty table gives no rows; other columns a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,50 +40,76 @@ ALLOW = (
     r"^(?:sha1|sha256|sha384|sha512|md5)[-=_]",
     r"(?i)example|placeholder|abcdefghij|0123456789",
     r"^\d{4}-\d{2}-\d{2}",
-    r"^(?:[A-Za-z]+|\d+)(?:[-_/=+](?:[A-Za-z]+|\d+))+$",
+    r"^(?:[A-Za-z]++|\d++)(?:[-_/=+](?:[A-Za-z]++|\d++))++$",
 )
 PLACEHOLDER = "[SECRET]"
+#: The characters of candidates; a window's count of each takes COUNT_BITS bits, COUNTS of them a number.
+ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"
+COUNT_BITS, COUNTS = 5, 12
+#: Matches whose positions are summed up together.
+SPANS = 128
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it is used, also within lambdas."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _blocks(rows: Column) -> Column:
+    """An array (of one row at least) in arrays of SPANS rows: what grows with the square of rows does so within and across blocks only."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / SPANS).cast("int")), lambda b: F.slice(rows, b * SPANS + 1, F.lit(SPANS)))
 
 
 def located(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0) -> Column:
     """Matches as array<struct<start, kind, end, what>>, in order; those whose group is shorter than `least` are dropped."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    parts = F.split(text, pattern, -1)
-    lengths = F.arrays_zip(F.transform(parts, lambda p: F.length(p)).alias("gap"), F.transform(matches, lambda m: F.length(m)).alias("size"), values.alias("what"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     nothing = F.array().cast("array<struct<start:int,kind:int,end:int,what:string>>")
-    one = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (at + x["gap"] + x["size"]).alias("end"), x["what"].alias("what"))
-    whole = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), nothing.alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(x["size"], F.lit(0))).alias("at"),
-            F.when(x["size"].isNotNull() & (F.length(x["what"]) >= least), F.concat(acc["spans"], F.array(one(acc["at"], x)))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(pattern), whole).otherwise(nothing)
+    advance = lambda x: x["gap"] + F.coalesce(F.length(x["match"]), F.lit(0))
+
+    def step(acc: Column, x: Column) -> Column:
+        start, end = acc["at"] + x["gap"], acc["at"] + advance(x)
+        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["what"].alias("what"))
+        more = F.when(F.length(x["what"]) >= least, F.concat(acc["spans"], F.array(one))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), more.alias("spans"))
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + advance(x)))
+        begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        of_block = lambda block, begin: F.aggregate(block, F.struct(begin.alias("at"), nothing.alias("spans")), step, lambda acc: acc["spans"])
+        return F.flatten(F.zip_with(blocks, _let(begins, lambda all_: F.slice(all_, F.lit(1), F.size(all_) - 1)), of_block))
+
+    rows = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("what"))
+    return F.when(text.rlike(pattern), _let(_let(rows, _blocks), placed)).otherwise(nothing)
 
 
 def window_entropy(text: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits a character, of any `window` consecutive characters; texts are at least that long."""
-    chars = F.split(text, "")
+    """The highest Shannon entropy, in bits a character, of any `window` consecutive characters of ALPHABET; texts are at least that long."""
     terms = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
-    term = lambda n: F.get(terms, n)
-    count = lambda at, c: F.size(F.filter(F.slice(chars, at, F.lit(window)), lambda x: x == c))
-    first = F.slice(chars, 1, window)
-    start = F.aggregate(F.array_distinct(first), F.lit(0.0), lambda acc, c: acc + term(F.size(F.filter(first, lambda x: x == c))))
-
-    def step(acc: Column, at: Column) -> Column:
-        # the window that starts at `at` (from 1) loses its first character and gains the one behind it
-        out, new = F.get(chars, at - 1), F.get(chars, at + window - 1)
-        n_out = count(at, out)
-        n_new = count(at, new) - F.when(out == new, 1).otherwise(0)
-        total = acc["sum"] + term(n_out - 1) - term(n_out) + term(n_new + 1) - term(n_new)
-        return F.struct(total.alias("sum"), F.least(acc["least"], total).alias("least"))
-
-    steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(start.alias("sum"), start.alias("least")), step, lambda acc: acc["least"])
+    units = F.array(*[F.lit(1 << (COUNT_BITS * k)) for k in range(COUNTS)])
+    nothing = F.array(*[F.lit(0).cast("long")] * -(-len(ALPHABET) // COUNTS))
+
+    def after(acc: Column, code: Column, by: int) -> Column:
+        """counts and sum when the character's count changes by one."""
+        cell = F.floor(code / COUNTS).cast("int")
+        place = (code % COUNTS).cast("int")
+        n = F.call_function("shiftright", F.get(acc["counts"], cell), place * COUNT_BITS).bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int")
+        counts = F.transform(acc["counts"], lambda x, k: F.when(k == cell, x + by * F.get(units, place)).otherwise(x))
+        return _let(n, lambda n: F.struct(counts.alias("counts"), (acc["sum"] + F.get(terms, n + by) - F.get(terms, n)).alias("sum")))
+
+    def step(acc: Column, pair: Column) -> Column:
+        moved = _let(after(acc, pair["out"], -1), lambda rest: after(rest, pair["new"], 1))
+        return _let(moved, lambda now: F.struct(now["counts"].alias("counts"), now["sum"].alias("sum"), F.least(acc["least"], now["sum"]).alias("least")))
+
+    def slid(codes: Column) -> Column:
+        first = F.aggregate(F.slice(codes, 1, window), F.struct(nothing.alias("counts"), F.lit(0.0).alias("sum")), lambda acc, code: after(acc, code, 1))
+        # the pairs of the character that leaves and the one behind the window that enters
+        pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - window), F.slice(codes, F.lit(window + 1), F.size(codes)), lambda out, new: F.struct(out.alias("out"), new.alias("new")))
+        start = _let(first, lambda f: F.struct(f["counts"].alias("counts"), f["sum"].alias("sum"), f["sum"].alias("least")))
+        return F.aggregate(pairs, start, step, lambda acc: acc["least"])
+
+    least = _let(F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1), slid)
     return F.lit(math.log2(window)) - least / window
 
 
@@ -123,15 +152,25 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def without(text: Column, spans: Column, placeholder: str = PLACEHOLDER) -> Column:
     """The text with each stretch of spans (overlapping ones are one) put out by the placeholder."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        apart = x["start"] >= acc["at"]
-        more = F.when(apart, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(placeholder))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), more.alias("out"))
+    def cut(block: Column, begin: Column) -> Column:
+        """What is left of the text from begin to the block's last end."""
+        end = F.greatest(begin, F.array_max(F.transform(block, lambda x: x["end"])))
+
+        def step(acc: Column, x: Column) -> Column:
+            kept = F.array(F.substring(acc["own"], acc["at"] - begin + 1, x["start"] - acc["at"]), F.lit(placeholder))
+            out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], kept)).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["own"].alias("own"), out.alias("out"))
+
+        first = F.struct(begin.alias("at"), F.substring(text, begin + 1, end - begin).alias("own"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(block, first, step, lambda acc: F.array_join(acc["out"], ""))
+
+    def done(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda x: x["end"])))
+        begins = F.aggregate(ends, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), n))))
+        return _let(begins, lambda all_: F.concat(F.array_join(F.zip_with(blocks, F.slice(all_, F.lit(1), F.size(all_) - 1), cut), ""), F.substring(text, F.element_at(all_, -1) + 1, F.length(text))))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(_let(spans, _blocks), done)).otherwise(text)
 
 
 def redacted(docs: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
