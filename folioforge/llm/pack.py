@@ -6,7 +6,7 @@ most capacity / unit classes whatever the corpus's size. Over it a linear progra
 pattern (a multiset of classes that fits a sequence); a knapsack by dynamic programming over the program's prices
 finds the patterns worth adding. Counts are rounded down, the rest is packed first-fit decreasing, and the patterns'
 places are dealt to the pieces by their rank within their class, so only the histogram and the patterns ever reach
-the driver.
+the driver. Sequence numbers aren't gapless: full pieces take theirs from where they are stored.
 
 Defined results: a null text counts as empty and packs as its closing id alone; every row is packed, also rows with
 equal or null doc_id; an empty table gives no pieces; other columns are ignored.
@@ -30,8 +30,8 @@ UNIT = 8
 CLOSING_ID = 1
 #: The linear program is solved to within this share of sequences.
 TOLERANCE = 1e-3
-#: Buckets that ranks within a class are counted by.
-BUCKETS = 64
+#: Buckets that ranks within a class are counted by, at least, and pieces a bucket of all classes, about.
+BUCKETS, BUCKET_ROWS = 64, 1 << 20
 
 
 def vocabulary() -> str:
@@ -42,7 +42,7 @@ def vocabulary() -> str:
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, and with_ids the ids themselves."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     given = path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,21 +160,17 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int,
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces of at most `capacity` ids (columns doc_id, start, length at least)."""
+    """Adds sequence_id and offset to pieces of at most `capacity` ids (column length at least)."""
     spark = pieces.sparkSession
     room = capacity // unit
-    # class 0: a piece that fills a sequence
-    held = C.written(pieces.withColumn("_class", F.when(F.col("length") == capacity, 0).otherwise(F.ceil(F.col("length") / unit)).cast("int")).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).cast("int")))
-    counts = sorted((r[0], r[1], r[2]) for r in held.groupBy("_class", "_bucket").count().collect())
-    histogram: Counter = Counter()
-    bases = []
-    for c, b, n in counts:
-        bases.append((c, b, histogram[c]))
-        histogram[c] += n
-    full = histogram.pop(0, 0)
-    runs: dict[int, list] = {0: [(0, 0, 1)]}
+    names = [f"`{c}`" for c in pieces.columns]
+    held = C.written(pieces.select(F.struct(*names).alias("_piece"), F.col("length").alias("_length"), F.ceil(F.col("length") / unit).cast("int").alias("_class"), F.monotonically_increasing_id().alias("_row")))
+    rest = held.where(F.col("_length") < capacity)
+    histogram = Counter({r[0]: r[1] for r in rest.groupBy("_class").count().collect()})
+    buckets = max(BUCKETS, sum(histogram.values()) // BUCKET_ROWS)
+    runs: dict[int, list] = {}
     done: Counter = Counter()
-    sequence = full
+    sequence = 0
     for times, pattern in patterns(histogram, room):
         for size, each in pattern.items():
             runs.setdefault(size, []).append((done[size], sequence, each))
@@ -183,15 +179,20 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> Dat
     # for each class the ranks at which a run of one pattern's places begins, its first sequence, its places a sequence
     table = [(c, [r[0] for r in own], [r[1] for r in own], [r[2] for r in own]) for c, own in runs.items()]
     where = spark.createDataFrame(table, "_class int, _from array<long>, _first array<long>, _each array<long>")
-    base = spark.createDataFrame(bases, "_class int, _bucket int, _base long")
-    rank = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", *[c for c in ("ids_crc32",) if c in pieces.columns])) - 1
-    ranked = held.withColumn("_rank", rank).join(F.broadcast(base), ["_class", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
+    # ranks within a class: by bucket, then within the bucket, so that no task holds a class
+    rest = rest.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)).cast("int"))
+    upto = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = rest.groupBy("_class", "_bucket").count().select("_class", "_bucket", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("_row")) - 1
+    ranked = rest.withColumn("_rank", rank).join(base, ["_class", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     run = F.size(F.filter("_from", lambda x: x <= F.col("_rank"))) - 1
     placed = ranked.join(F.broadcast(where), "_class").withColumn("_run", run)
     placed = placed.withColumn("sequence_id", F.get("_first", F.col("_run")) + F.floor((F.col("_rank") - F.get("_from", F.col("_run"))) / F.get("_each", F.col("_run"))))
-    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "_class", "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return out.select(*pieces.columns, F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("_length"), "_class", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    shared = placed.select("_piece.*", F.col("sequence_id").cast("long").alias("sequence_id"), F.coalesce(F.sum("_length").over(before), F.lit(0)).cast("long").alias("offset"))
+    # a full piece is a sequence by itself: any number above the shared ones
+    full = held.where(F.col("_length") == capacity).select("_piece.*", (F.lit(sequence).cast("long") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:

@@ -21,8 +21,8 @@ from . import common as C
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 #: What may follow an apostrophe in a contraction, longest first where one begins another.
 CONTRACTIONS = ("re", "ve", "ll", "s", "t", "m", "d")
-#: Pieces whose ids a worker keeps; when there are more, it starts anew.
-MEMO = 1_000_000
+#: Pieces whose ids a worker keeps; when there are more, or they are long, it starts anew.
+MEMO = 1 << 18
 
 
 def classes() -> np.ndarray:
@@ -113,10 +113,10 @@ class Encoder:
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.spelled = np.zeros(0, np.uint32)
+        self.begins = np.zeros(0, np.int64)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > MEMO:
-            self.reset()
         got = [self.model.encode_ordinary(w) for w in words]
         lengths = np.array([len(x) for x in got], np.int64)
         begin = len(self.ids)
@@ -124,6 +124,9 @@ class Encoder:
         rows = np.arange(len(self.starts), len(self.starts) + len(got))
         self.starts = np.concatenate([self.starts, begin + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        sizes = np.array(list(map(len, words)), np.int64)
+        self.begins = np.concatenate([self.begins, len(self.spelled) + np.cumsum(sizes) - sizes])
+        self.spelled = np.concatenate([self.spelled, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)])
         at = np.searchsorted(self.keys, keys)
         self.keys, self.rows = np.insert(self.keys, at, keys), np.insert(self.rows, at, rows)
 
@@ -141,7 +144,7 @@ class Encoder:
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == kept
         if not known.all():
-            if len(self.keys) + int((~known).sum()) > MEMO:
+            if len(self.keys) + int((~known).sum()) > MEMO or len(self.spelled) > 8 * MEMO:
                 self.reset()
                 known[:] = False
             new = where[~known]
@@ -149,6 +152,12 @@ class Encoder:
             self.learn(kept[~known], [whole[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             at = np.searchsorted(self.keys, kept)
         rows = self.rows[at][back] if len(kept) else np.zeros(0, np.int64)
+        # the memo's pieces are compared themselves: hashes only lead to them
+        if not np.array_equal(self.spelled[C.ragged(ends - starts, self.begins[rows])], text):
+            whole = text.tobytes().decode("utf-32-le")
+            got = [self.model.encode_ordinary(whole[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            total = np.cumsum([0, *map(len, got)])
+            return np.array([i for x in got for i in x], np.uint32), total[np.searchsorted(starts, chars)]
         lengths = self.lengths[rows]
         ids = self.ids[C.ragged(lengths, self.starts[rows])]
         total = np.concatenate([[0], np.cumsum(lengths)])

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -432,6 +433,13 @@ def test_html(spark):
     assert html_text.extracted(table.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("tag", ["blockquote", "li", "td", "div", "span"])
+def test_deeply_nested_pages_take_linear_time(tag):
+    began = time.perf_counter()
+    got = html_text.main_text(f"<{tag}>a, b " * 20_000)
+    assert got.count("a, b") == 20_000 and time.perf_counter() - began < 5
+
+
 def paragraphs(n: int, seed: int) -> tuple[str, list[str]]:
     own = [", ".join(" ".join(prose(9, seed + 100 * k + q)) for q in range(5)) + "." for k in range(n)]
     return "".join(f"<p>{x}</p>" for x in own), own
