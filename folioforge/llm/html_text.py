@@ -4,7 +4,7 @@ The page's tags become a tree as browsers build it in the main (void and raw-tex
 the like, unclosed and stray tags). Parts that are never main text (menus, forms, scripts; elements whose class, id or
 role names an advert, a notice, comments) are left out; headings and inline elements aren't judged by name, nor, by its
 id alone, a part of the article that holds a topic's text. Each paragraph gives points for its length and commas, all of
-them to its parent and half to its grandparent; a container's points are discounted by its link density. The best
+them to its parent half to its grandparent and a quarter to the one above; a container's points are discounted by its link density. The best
 container's article is kept whole; without one, the container and what scores like it or reads like text beside it,
 up to the main element or the ancestor with nearly all unlinked text. Their blocks are joined in page order.
 
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 DROPPED = RAW | frozenset("head nav header footer aside form button select option input label fieldset menu svg canvas object audio video dialog".split())
@@ -52,14 +54,16 @@ WHITE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("bonus", "children", "doubtful", "dropped", "links", "parent", "size", "tag", "score")
+    __slots__ = ("bonus", "children", "commas", "doubtful", "dropped", "in_p", "inside", "links", "parent", "size", "tag", "score")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: int = 0):
         self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
         self.children: list = []
         self.score = 0.0
         self.doubtful = False
-        self.size = self.links = 0
+        self.size = self.links = self.commas = 0
+        self.in_p = tag == "p" or parent is not None and parent.in_p and tag not in SCOPE and tag != "li"
+        self.inside = tag in ("article", "main") or parent is not None and parent.inside
 
 
 def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, int, bool]:
@@ -119,7 +123,7 @@ def tree(page: str) -> Node:
             continue
         if tag == "html":
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_.in_p:
             node = open_
             while node is not None and node.tag != "p" and node.tag not in SCOPE and node.tag != "li":
                 node = node.parent
@@ -131,13 +135,8 @@ def tree(page: str) -> Node:
                 node = node.parent
             while node is not None and node.tag in SAME[tag]:
                 open_ = node = node.parent
-        attributes, node = m[4] or "", open_
-        if "id" in attributes.lower():
-            while node is not None and node.tag not in ("article", "main"):
-                node = node.parent
-        else:
-            node = None
-        dropped, bonus, doubtful = _marks(tag, attributes, node is not None)
+        attributes = m[4] or ""
+        dropped, bonus, doubtful = _marks(tag, attributes, open_.inside and "id" in attributes.lower())
         node = Node(tag, open_, dropped or open_.dropped, bonus)
         node.doubtful = doubtful
         if not node.dropped:
@@ -167,6 +166,7 @@ def scored(root: Node) -> Node:
             gone.update(k for k in kids if k not in node.children)
             kids = [c for c in node.children if isinstance(c, Node)]
         node.size = len(own.strip()) + sum(k.size for k in kids)
+        node.commas = own.count(",") + own.count("、") + own.count("，") + sum(k.commas for k in kids)
         node.links = node.size if node.tag == "a" else sum(k.links for k in kids)
     for node in order:  # parents before their children
         if gone and (node in gone or node.parent in gone):
@@ -176,8 +176,7 @@ def scored(root: Node) -> Node:
         own = node.size if node.tag in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3") else sum(len(c.strip()) for c in node.children if isinstance(c, str)) if node.tag in CONTAINERS else 0
         if own < 1:
             continue
-        commas = sum(c.count(",") + c.count("、") + c.count("，") for c in _strings(node))
-        points = (1 if own >= 25 else 0.2) + commas + min(own / 100, 3)
+        points = (1 if own >= 25 else 0.2) + node.commas + min(own / 100, 3)
         target, share = (node if node.tag in CONTAINERS else node.parent), 1.0
         while target is not None and share > 0.2:
             if target.tag in CONTAINERS or target.tag == "html":
@@ -194,16 +193,6 @@ def scored(root: Node) -> Node:
     return best
 
 
-def _strings(node: Node) -> Iterator[str]:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            yield x
-        else:
-            stack += reversed(x.children)
-
-
 def _reads(x: Node | str, least: float) -> bool:
     """Whether what stands beside the best container is text of the page: by score, or as prose, lists and tables by link density."""
     if isinstance(x, str):
@@ -282,7 +271,7 @@ def main_text(page: str | None) -> str:
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    rows = C.small_batches(pages).select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
