@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker; bounds numpy's temporaries.
 CHUNK_BYTES = 1 << 19
+#: Bytes of an Arrow batch between an executor and a worker.
+BATCH_BYTES = 2 << 20
 _WORKER: dict = {}
 
 
@@ -43,10 +44,13 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Deletes what written() wrote; nothing that is yet to run may read these tables."""
     for df in tables:
-        if not hasattr(df, "_folder"):
-            continue
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if hasattr(df, "_folder"):
+            deleted(df.sparkSession, df._folder)
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
@@ -68,16 +72,15 @@ def empty_of(df: DataFrame, schema: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], schema)
 
 
-@contextmanager
-def rows_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of n rows at most while what is inside runs: for rows that hold long arrays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, n)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches held to BATCH_BYTES (and one row) unless the user has set another size.
+
+    Rows that hold texts and arrays then take a bounded part of an executor's and a worker's memory.
+    """
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+    return df
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -111,7 +111,7 @@ def _digest(items: set[str]) -> str:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, items (sorted ids as strings)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = items.select(F.col("item_id"), F.col("text"))
     if not _fits(items, broadcast_words):
         return _shuffled(rows, items, window, shingle)
@@ -184,4 +184,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shin
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.small_batches(docs).mapInArrow(run, docs.schema)

@@ -53,8 +53,6 @@ KNOWN = 1 << 18
 PART = 1024
 #: Documents up to which a bitmap in the workers picks the texts to read again; beyond, a shuffled semi-join does.
 PICKED = 1 << 24
-#: Texts, and candidates with both sets, that go to a worker at once.
-READ, VERIFIED = 2000, 200
 #: Candidates that are divided and merged at once.
 BLOCK = 64
 
@@ -287,8 +285,7 @@ def _sets_of(rows: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(at), pa.array(C.signed(np.concatenate(own))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([digest(s)[0] for s in own], pa.int64()), flat], ["doc_id", "mark", "shingles"])
 
-    with C.rows_a_batch(rows.sparkSession, READ):
-        out = C.written(rows.mapInArrow(sets, "doc_id long, mark long, shingles array<long>").where(F.size("shingles") > 0))
+    out = C.written(rows.mapInArrow(sets, "doc_id long, mark long, shingles array<long>").where(F.size("shingles") > 0))
     picked.destroy()
     C.dropped(ids)
     return out
@@ -316,8 +313,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
                     found += [k + x for x in divide_skip(as_set(own[start]), [as_set(others[q]) for q in range(k, min(end, k + BLOCK))], percent)]
             yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
 
-    with C.rows_a_batch(rows.sparkSession, VERIFIED):
-        out = C.written(both.mapInArrow(verify, "a long, b long"))
+    out = C.written(both.mapInArrow(verify, "a long, b long"))
     C.dropped(held)
     return out
 
@@ -354,16 +350,14 @@ def _across(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
-    context, rows = spark.sparkContext, _sets(docs, id_col, text_col)
-    with C.rows_a_batch(spark, READ):
-        profile = C.written(_profile(rows, words))
+    context, rows = spark.sparkContext, _sets(C.small_batches(docs), id_col, text_col)
+    profile = C.written(_profile(rows, words))
     own = profile.where("kind = 0").select("doc_id", "n", "a", "b")
     classes = C.written(own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     common, known = context.broadcast(_common(profile.where("kind = 1").select("a", "b"))), context.broadcast(_known(classes))
     rows = rows.where("doc_id is not null")
-    with C.rows_a_batch(spark, READ):
-        dealt = _posted(rows, common, known, words, percent).repartition("shingle", "part").sortWithinPartitions("shingle", "part", "doc_id")
-        lists = C.written(dealt.mapInArrow(listed, "shingle long, part int, doc_id long, n int, at int, first long, first_n int"))
+    dealt = _posted(rows, common, known, words, percent).repartition("shingle", "part").sortWithinPartitions("shingle", "part", "doc_id")
+    lists = C.written(dealt.mapInArrow(listed, "shingle long, part int, doc_id long, n int, at int, first long, first_n int"))
     common.destroy()
     known.destroy()
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BITS = 18
-#: Labelled texts that training uses at most.
-SAMPLE = 6000
+#: Labelled texts that training uses at most, and the bytes of the longest.
+SAMPLE, LONGEST = 6000, 1 << 20
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
 #: Feature shares are this much larger, so that weights stay within a few units.
@@ -106,11 +106,20 @@ def _vectors(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: int, sample: int) -> DataFrame:
-    """(label, text) of at most `sample` labelled rows outside the held-out fold, the least by a hash of their id."""
+    """(label, text) of at most `sample` labelled rows outside the held-out fold whose documents are there, the least by a hash of their id.
+
+    Texts of over LONGEST bytes aren't sampled: they would fill the driver.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != fold)
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    text = C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    order, n = [F.xxhash64("doc_id"), "doc_id", "label"], sample
+    while True:
+        asked = C.written(known.orderBy(*order).limit(n))
+        chosen = C.written(text.select("doc_id").join(F.broadcast(asked), "doc_id").distinct().orderBy(*order).limit(sample))
+        if chosen.count() >= sample or asked.count() < n:
+            break
+        n *= 4  # labels without a document don't use up the sample
     # at most `sample` rows of an id and a label each
     return text.join(F.broadcast(chosen), "doc_id").select("label", "text")
 
@@ -137,7 +146,7 @@ def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bias: flo
 def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 0, folds: int = 5, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, fold, folds, sample, bits))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,4 +175,4 @@ def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int
             if out:
                 yield batch.filter(pa.array(np.concatenate(out) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.small_batches(docs).mapInArrow(run, docs.schema)

@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 2,
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 2, folds: int = 4, sample: int = SAMPLE, bits: int = BITS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label, fold, folds, sample, bits))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = C.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
