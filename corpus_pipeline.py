@@ -3,6 +3,12 @@
 quality (5) drops what the classifier rejects; near_duplicates (8) keeps one document of each component;
 decontamination (7) drops documents that hold a benchmark window; secrets (2) puts secrets out of the texts and keeps
 every document; packing (10) returns the pieces of the packed sequences.
+
+Defined results: all but the last stage return the columns of their input, whatever there are, in their order. A null
+text counts as empty: quality scores it by the bias, the others keep it, and it packs as its closing id. Rows with a
+null doc_id are judged by their own text and never stand for others. Rows with equal doc_id and text are one document
+to near_duplicates_8, rows with equal doc_id and other texts are documents of their own. Empty tables give no pieces.
+A stage's table is deleted when the next one's is written.
 """
 
 from __future__ import annotations
@@ -53,6 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
+            schema = docs.schema
             docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
+            docs = spark.read.schema(schema).parquet(f"{folder}/{name}")
+            if k:
+                common.deleted(spark, f"{folder}/{STAGES[k - 1][0]}")
     return docs
