@@ -244,6 +244,65 @@ def test_secrets_of_very_long_texts(spark):
         assert clean[k] == "".join(out) + t[at:]
 
 
+def overlaps(found, a: int, b: int) -> int:
+    """Words of a that rows of (a, b) cover."""
+    return len({w for r in found if (r.doc_id, r.other_id) == (a, b) for w in range(r.start_word, r.end_word)})
+
+
+@pytest.mark.parametrize("size", [24, 16, 11])
+def test_quotes_of_a_passage_dont_hide_it(spark, size):
+    """100 and 101 share 80 words that earlier documents each quote a part of."""
+    p = prose(80, 900)
+    rows = [(k, " ".join(prose(30, 1000 + k) + p[s : s + size] + prose(30, 2000 + k))) for k, s in enumerate(range(0, 80 - size + 1, size // 3))]
+    rows += [(100, " ".join(prose(20, 31) + p)), (101, " ".join(p + prose(20, 32)))]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert overlaps(found, 101, 100) == overlaps(found, 100, 101) == 80 and {r.doc_id for r in found} == {100, 101}
+
+
+def test_long_passages_are_found_whole(spark):
+    """400 equal words whose ends earlier documents quote in parts, and a passage of 3,000."""
+    p, q = prose(400, 901), prose(3000, 902)
+    rows = [(k, " ".join(prose(10, 3000 + k) + p[s : s + 20])) for k, s in enumerate([*range(0, 160, 7), *range(240, 380, 7)])]
+    rows += [(200, " ".join(p + prose(9, 33))), (201, " ".join(prose(9, 34) + p)), (300, " ".join(prose(9, 35) + q)), (301, " ".join(q))]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert overlaps(found, 201, 200) == 400 and overlaps(found, 301, 300) == 3000
+
+
+def test_passages_of_equal_and_null_ids(spark):
+    p = prose(70, 903)
+    rows = [(7, " ".join(p + prose(20, 36))), (7, " ".join(prose(20, 37) + p)), (None, " ".join(prose(5, 38) + p)), (8, None), (8, "")]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in found} >= {(7, 7), (None, 7)} or {(r.doc_id, r.other_id) for r in found} >= {(7, 7), (7, None)}
+    assert all(r.n_words >= 70 for r in found)
+
+
+def test_passages_of_random_texts_equal_brute_force(spark, monkeypatch):
+    """A few hundred texts that share stretches of 50 to 120 words: every pair of a text with some other is found, in lists with parts too."""
+    monkeypatch.setattr(passages, "CROWD", 4)
+    draw = np.random.default_rng(21)
+    pool = [prose(120, 5000 + k) for k in range(25)]
+    texts = []
+    for k in range(240):
+        own = prose(int(draw.integers(0, 60)), 6000 + k)
+        for _ in range(int(draw.integers(0, 3))):
+            part = pool[int(draw.integers(25))]
+            n = int(draw.choice([20, 30, 55, 80, 120]))
+            s = int(draw.integers(0, 121 - n))
+            own += part[s : s + n] + prose(8, int(draw.integers(10**6, 10**7)))
+        texts.append(own)
+    held = defaultdict(set)
+    for k, w in enumerate(texts):
+        for s in range(len(w) - 49):
+            held[tuple(w[s : s + 50])].add(k)
+    want = {(k, s) for k, w in enumerate(texts) for s in range(len(w) - 49) if len(held[tuple(w[s : s + 50])]) > 1}
+    found = passages.shared_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(4)).collect()
+    covered = {(r.doc_id, w) for r in found for w in range(r.start_word, r.end_word)}
+    caught = sum(all((k, s + i) in covered for i in range(50)) for k, s in want)
+    assert len(want) > 1000 and caught >= 0.98 * len(want)
+    shared = {(k, s + i) for k, s in want for i in range(50)}
+    assert len(covered - shared) <= 0.1 * len(covered)
+
+
 def test_window_entropy_equals_direct(spark):
     texts = ["a1B2c3D4e5F6g7H8i9J0", "aaaaaaaaaaaaaaaaaaaab", "".join(rng.choice(list("abc123"), 60)), "0123456789abcdef" * 4]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(secrets.window_entropy(F.col("t"))).collect()]
