@@ -130,6 +130,19 @@ def thue_morse(n: int, x: str, y: str) -> tuple[str, str]:
     return x, y
 
 
+def test_byte_hashes_know_words_wherever_they_stand():
+    """Words of every length up to 40 bytes, NUL bytes and all, have one hash each; the words around them don't matter."""
+    words = sorted({(b"\0ab\0" * 10)[k:j] for k in range(4) for j in range(k + 1, 41)} | {b"a" * n for n in range(1, 41)})
+    hashes = []
+    for order in (words, words[::-1]):
+        data = np.frombuffer(b" ".join(order), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in order]) - 1
+        found = C.byte_hashes(data, ends - [len(w) for w in order], ends)
+        hashes.append(dict(zip(order, found.tolist(), strict=True)))
+    assert hashes[0] == hashes[1] and len(set(hashes[0].values())) == len(words)
+    assert not len(C.byte_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+
+
 def test_hashes_of_structured_words_differ():
     """Two words that collide in any polynomial hash modulo 2 ** 64: their ids, shingles and seeds differ."""
     x, y = thue_morse(12, "a", "b")
