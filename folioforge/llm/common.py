@@ -238,9 +238,27 @@ def _folded(values, bits: int):
     return (((x * np.uint64(BIT_FACTOR & 0x7FFFFFFF)) & np.uint64((1 << 40) - 1)) >> np.uint64(41 - bits.bit_length())).astype(np.int64)
 
 
-def bitmap_of(df: DataFrame, column: str, bits: int = 1 << 23) -> tuple[np.ndarray, int]:
-    """A bitmap of bits / 8 bytes (bits: a power of two) of a column's longs: a prefilter with false positives only."""
+def _turned(values):
+    """The halves turned to other places: the second probe of a hash."""
+    if isinstance(values, str):
+        return F.shiftleft(F.col(values), 31).bitwiseOR(F.shiftrightunsigned(F.col(values), 33))
+    v = values.astype(np.int64).view(np.uint64)
+    return ((v << np.uint64(31)) | (v >> np.uint64(33))).view(np.int64)
+
+
+def bits_for(n: int, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for n values, 32 or more a value up to `most` bits; beyond, more values pass in vain."""
+    return min(max(1 << 23, 1 << (32 * n).bit_length()), most)
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int = 1 << 23, probes: int = 1) -> tuple[np.ndarray, int]:
+    """A bitmap of bits / 8 bytes (bits: a power of two) of a column's longs: a prefilter with false positives only.
+
+    Two probes a value ask for longs that are hashes.
+    """
     held = df.select(_folded(column, bits).alias("h"))
+    if probes == 2:
+        held = held.unionByName(df.select(_turned(column).alias("t")).select(_folded("t", bits).alias("h")))
     rows = held.groupBy(F.shiftright("h", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("h").bitwiseAND(F.lit(32767))).alias("b")).toLocalIterator()
     out = np.zeros(max(bits // 8, 4096), np.uint8)
     for k, b in rows:
@@ -248,9 +266,13 @@ def bitmap_of(df: DataFrame, column: str, bits: int = 1 << 23) -> tuple[np.ndarr
     return out, bits
 
 
-def in_bitmap(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+def in_bitmap(bitmap: np.ndarray, values: np.ndarray, bits: int, probes: int = 1) -> np.ndarray:
     h = _folded(values, bits)
-    return (bitmap[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+    found = (bitmap[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1
+    if probes == 2:
+        at = np.flatnonzero(found)
+        found[at] = in_bitmap(bitmap, _turned(values[at]), bits)
+    return found
 
 
 def ragged(lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -143,6 +143,19 @@ def test_byte_hashes_know_words_wherever_they_stand():
     assert not len(C.byte_hashes(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)))
 
 
+def test_bitmaps_of_two_probes_miss_none_and_let_few_pass(spark):
+    values = C.signed(C.mix(np.arange(1, 60001, dtype=np.uint64)))
+    df = spark.createDataFrame([(int(v),) for v in values[:20000]], "h long")
+    let = []
+    for probes in (1, 2):
+        bitmap, bits = C.bitmap_of(df, "h", 1 << 20, probes)
+        found = C.in_bitmap(bitmap, values, bits, probes)
+        assert found[:20000].all()
+        let.append(int(found[20000:].sum()))
+    assert 400 < let[0] < 1200 and let[1] < 120
+    assert (C.bits_for(0), C.bits_for(1 << 20), C.bits_for(1 << 40)) == (1 << 23, 1 << 26, 1 << 28)
+
+
 def test_hashes_of_structured_words_differ():
     """Two words that collide in any polynomial hash modulo 2 ** 64: their ids, shingles and seeds differ."""
     x, y = thue_morse(12, "a", "b")
