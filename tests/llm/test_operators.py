@@ -456,6 +456,43 @@ def test_passages_that_the_first_holder_has_a_part_of(spark):
     assert all(got[4 * k + 2] >= set(range(9, 69)) and got[4 * k + 3] >= set(range(15, 75)) for k in range(8))
 
 
+@pytest.mark.parametrize("changed", [["other"], [], ["a", "b", "c", "d", "e", "f"], ["a", "b", "c"]])
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_changed_passages_whose_parts_many_documents_hold(spark, changed, partitions):
+    """1000 and 1001 share 70 words but for a place; more than HOLDERS earlier documents hold each part, none both."""
+    whole = prose(70, 110)
+    near = whole[:33] + changed + whole[37 if len(changed) > 1 else 34 :]
+    texts = [(k, prose(20, 400 + k) + (whole[:40] if k % 2 else whole[30:]) + prose(20, 700 + k)) for k in range(4 * passages.HOLDERS)]
+    texts += [(1000, prose(9, 111) + whole + prose(9, 112)), (1001, prose(5, 113) + near + prose(9, 114)), (2000, whole[:40] + prose(30, 115))]
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string").repartition(partitions)
+    found = passages.shared_passages(table).collect()
+    assert {(r.doc_id, r.other_id) for r in found} == {(1000, 1001), (1001, 1000)}
+    assert overlaps(found, 1000, 1001) == 70 and overlaps(found, 1001, 1000) == len(near)
+
+
+@pytest.mark.parametrize("n", [50, 53, 56])
+def test_short_equal_passages_whose_parts_many_documents_hold(spark, n):
+    whole = prose(n, 120)
+    texts = [(k, prose(20, 800 + k) + (whole[: n - 15] if k % 2 else whole[15:]) + prose(20, 1000 + k)) for k in range(3 * passages.HOLDERS)]
+    texts += [(1000, prose(9, 121) + whole + prose(9, 122)), (1001, prose(5, 123) + whole + prose(9, 124))]
+    found = passages.shared_passages(spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string").repartition(2)).collect()
+    assert overlaps(found, 1000, 1001) == overlaps(found, 1001, 1000) == n and {r.doc_id for r in found} == {1000, 1001}
+
+
+def test_bridges_are_those_of_a_place_that_differs():
+    one = C.mix(np.arange(1, 61, dtype=np.uint64))
+    two, held = one.copy(), []
+    two[30] = 7
+    for hashes in (one, two):
+        words = np.array([0, 60])
+        seed, at, text = passages._minimizers(hashes, words)
+        key, value, _, asks = passages.bridges(hashes, words, seed, at, text, at == at[0])
+        assert 0 < asks.sum() < len(asks)
+        held.append(dict(zip(key.tolist(), value.tolist(), strict=True)))
+    shared = held[0].keys() & held[1].keys()
+    assert any(held[0][k] != held[1][k] for k in shared) and any(held[0][k] == held[1][k] for k in shared)
+
+
 def test_toxicity_learns_from_more_than_3000_texts(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "trained", lambda texts, labels, bits: seen.append(len(texts)) or (np.zeros(1 << bits, np.float32), 0.0))
