@@ -479,6 +479,25 @@ def test_short_equal_passages_whose_parts_many_documents_hold(spark, n):
     assert overlaps(found, 1000, 1001) == overlaps(found, 1001, 1000) == n and {r.doc_id for r in found} == {1000, 1001}
 
 
+def test_near_copies_dont_get_all_others_passages_again(spark):
+    """Near copies behind a line that all hold and words of their own: what a passage covers isn't matched again for a line that none covers."""
+    line, whole = prose(8, 130), prose(120, 131)
+    for n in (60, 180):
+        draw, texts = np.random.default_rng(132), []
+        for k in range(n):
+            near = [w if draw.random() > 0.06 else f"changed{k}x{i}" for i, w in enumerate(whole)]
+            texts.append((k, " ".join(line + prose(14, 2000 + k) + near)))
+        found = passages.shared_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+        held = {(r.doc_id, w) for r in found for w in range(r.start_word, r.end_word)}
+        assert len(found) <= 12 * n and sum((k, w) in held for k in range(n) for w in range(22, 142)) >= 0.95 * 120 * n
+
+
+def test_uncovered_windows():
+    low, high = passages._uncovered(np.array([0, 200]), np.array([120, 260]), np.array([10, 30]), np.array([80, 90]), 50)
+    # windows from 0 to 9 and from 41 on begin before or end behind the passages, so does no other
+    assert list(zip(low.tolist(), high.tolist(), strict=True)) == [(0, 59), (41, 120), (200, 260)]
+
+
 def test_bridges_are_those_of_a_place_that_differs():
     one = C.mix(np.arange(1, 61, dtype=np.uint64))
     two, held = one.copy(), []
