@@ -530,6 +530,70 @@ def test_chains_and_alignment():
     assert abs(passages.aligned(a, b) - 79 / 80) < 1e-9
 
 
+def test_alignment_equals_the_table_of_edits(monkeypatch):
+    rng = np.random.default_rng(5)
+    for k in range(200):
+        x = rng.integers(0, 9 if k % 2 else 1000, 30)
+        y = np.insert(np.delete(x, rng.choice(30, k % 7, replace=False)), rng.choice(20, k % 5), 7)
+        cost = np.arange(len(y) + 1)
+        for word in x:
+            last, cost = cost, np.full(len(y) + 1, cost[0] + 1)
+            for j in range(len(y)):
+                cost[j + 1] = min(last[j] + (word != y[j]), last[j + 1] + 1, cost[j] + 1)
+        for stepped in (0, 4096):
+            monkeypatch.setattr(passages, "STEPPED", stepped)
+            assert abs(passages.aligned(x, y) - (1 - cost[-1] / max(len(x), len(y)))) < 1e-9
+
+
+def _rows(batches):
+    return sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=str)
+
+
+def test_pairs_whose_matches_cant_chain_arent_chained(monkeypatch):
+    # 3,000 pairs with two matches each that are too near, fall or lie too far apart; then one that chains
+    rows = [(k, -1, at, other, 0) for k in range(3000) for at, other in (((0, 5), (6, 11)), ((0, 90), (20, 5)), ((0, 0), (40, 40)))[k % 3]]
+    rows += [(3000, -1, 0, 10, 0), (3000, -1, 8, 18, 0), (3001, -1, 0, 10, 1), (3001, -1, 9, 19, 0), (3002, -1, 0, 10, 1), (3002, -1, 9, 19, 1)]
+    table = pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "other_id", "at", "other_at", "known"])
+    calls, chains = [], passages.chains
+    monkeypatch.setattr(passages, "chains", lambda *a: calls.append(1) or chains(*a))
+    assert _rows(passages._chained(iter(table.to_batches(max_chunksize=7)))) == [(3000, -1, 0, 13, 10, 23), (3001, -1, 0, 14, 10, 24)]
+    assert len(calls) == 2
+
+
+def test_pairs_at_once_are_as_each_alone(monkeypatch):
+    rng = np.random.default_rng(6)
+
+    def places():
+        seed = np.sort(rng.choice(40, 12))
+        at = rng.permutation(60)[:12]
+        return seed.tolist(), passages.packed(at, rng.integers(0, 3, 12), rng.integers(0, 2, 12), rng.random(12) < 0.2).tolist()
+
+    rows = [(k, k - 500, *places(), *places()) for k in range(300)]
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], list("abcdef"))
+    alone = _rows(b for k in range(300) for b in passages._paired(iter([batch.slice(k, 1)])))
+    calls, chains = [], passages.chains
+    monkeypatch.setattr(passages, "chains", lambda *a: calls.append(1) or chains(*a))
+    assert _rows(passages._paired(iter([batch]))) == alone and alone
+    assert len(calls) < 300
+
+
+def test_documents_at_once_are_as_each_alone():
+    rng, rows = np.random.default_rng(7), []
+    for doc in range(60):
+        at = np.sort(rng.choice(400, 80, replace=False)).tolist()
+        spans = [(doc, 0, a, a + int(n), 0, 0, 0) for a, n in zip(sorted(rng.integers(0, 300, doc % 4).tolist()), rng.integers(50, 120, 4), strict=False)]
+        rows += spans + [(doc, 1, a, a, int(rng.integers(1, 1 << 50)) << 11, 0, int(rng.integers(0, 2))) for a in at]
+    names = ["doc_id", "kind", "at", "end", "seed", "rank", "few"]
+    table = lambda rows: pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+    for step, kind in ((passages._open, 1), (passages._asked, 3)):
+        of = [(*r[:1], r[1] and kind, *r[2:]) for r in rows]
+        alone = _rows(b for d in range(60) for b in step(iter(table([r for r in of if r[0] == d]).to_batches()), 50))
+        assert _rows(step(iter(table(of).to_batches()), 50)) == alone and alone
+        # not a batch for each document
+        assert len(list(step(iter(table(of).to_batches()), 50))) < 10
+
+
 def test_media_round_trip(docs, none):
     for r in media.text_media(docs, with_media=True).collect():
         kind, rate, _, payload = media.opened(r.media)
